@@ -6,16 +6,14 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import token_files, url_rules, warc
+from ..session import table
+from . import line_dedup, quality, simhash, token_files, url_rules, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -25,6 +23,34 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = line_dedup.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"), min_docs=10, min_chars=1)
+    return docs.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_dropped").alias("n_dropped"), F.sha2("text", 256).alias("kept_sha256"))
+
+
+SQL_LINE_DEDUP = """
+WITH docs AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+pos AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM docs),
+keyed AS (
+  SELECT doc_id, line, i, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+         'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM pos),
+frequent AS (SELECT k FROM keyed WHERE length(k) >= 1 GROUP BY k HAVING count(DISTINCT doc_id) >= 10),
+flagged AS (SELECT keyed.*, frequent.k IS NOT NULL AS gone FROM keyed LEFT JOIN frequent ON keyed.k = frequent.k)
+SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (gone)::BIGINT AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM flagged GROUP BY doc_id
+"""
+
+
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = simhash.grouped(table(spark, sf_dir, "documents").select("doc_id", "text"), size=3, most=3)
+    return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.rated(table(spark, sf_dir, "documents"))
+
+
 #: Fixed rules of the query.
 URL_RULES = tuple(
     url_rules.path_rule(text, verdict)
@@ -63,9 +89,12 @@ def queries() -> dict[str, Query]:
     return {
         "op1_token_files": op1_token_files,
         "op3_warc": op3_warc,
+        "op4_line_dedup": op4_line_dedup,
         "op5_url_rules": op5_url_rules,
+        "op7_simhash": op7_simhash,
+        "op9_quality": op9_quality,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_url_rules": SQL_URL_RULES}
+    return {"op4_line_dedup": SQL_LINE_DEDUP, "op5_url_rules": SQL_URL_RULES}
