@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import line_dedup, quality, simhash, token_files, url_rules, warc
+from . import html_text, line_dedup, quality, simhash, token_files, url_rules, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -51,6 +51,10 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.rated(table(spark, sf_dir, "documents"))
 
 
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extracted(table(spark, sf_dir, "pages"))
+
+
 #: Fixed rules of the query.
 URL_RULES = tuple(
     url_rules.path_rule(text, verdict)
@@ -93,6 +97,7 @@ def queries() -> dict[str, Query]:
         "op5_url_rules": op5_url_rules,
         "op7_simhash": op7_simhash,
         "op9_quality": op9_quality,
+        "op10_html_text": op10_html_text,
     }
 
 

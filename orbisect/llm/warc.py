@@ -29,6 +29,8 @@ INDEX = "page_id long, url string, payload_digest string, record_type string, fi
 RECORDS = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
 #: Ranges that lie closer together than GAP are read at once, up to MOST bytes a read.
 GAP, MOST = 64 << 10, 8 << 20
+#: Bytes of archives that a task reads.
+TASK_BYTES = 32 << 20
 
 
 def digest(payload: bytes) -> str:
@@ -160,7 +162,10 @@ def read_records(index: DataFrame, payloads: bool = True) -> DataFrame:
                         rows = [parse(zlib.decompress(data[at - begin : at - begin + n], 31)) for at, n in own]
                         yield rolled(rows if payloads else [(*r[:-1], None) for r in rows], RECORDS)
 
-    spans = index.select("file", "offset", "length").repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
+    # As many tasks as the archives' bytes need, not the few that so small an index would get.
+    total = index.agg(F.sum("length")).first()[0] or 0
+    spans = index.select("file", "offset", "length").repartitionByRange(max(1, total // TASK_BYTES), "file", "offset")
+    spans = spans.sortWithinPartitions("file", "offset")
     return spans.mapInArrow(read, RECORDS)
 
 
