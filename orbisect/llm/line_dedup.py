@@ -11,10 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, stripped, workspace, written
+from .common import DOC, ascii_lower, identity, stripped, workspace, written
 
-#: A document is told by its doc_id and the hash of its text, so that rows which repeat both count as one.
-DOC = ("__d", "__t")
 KEY = ("__h1", "__h2")
 
 
@@ -22,10 +20,6 @@ def lines_of(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n")
 
 
-def identity(doc_id: str = "doc_id", text: str = "text") -> list[Column]:
-    return [F.coalesce(F.col(doc_id), F.lit(-(1 << 63))).alias(DOC[0]), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias(DOC[1])]
-
-
 def line_hashes(docs: DataFrame, min_chars: int = 1) -> DataFrame:
     """DOC, position and the 128-bit hash of each line's key; lines whose key is shorter than min_chars are left out."""
     rows = docs.select(*identity(), F.posexplode(lines_of(F.col("text"))).alias("__pos", "__line"))
