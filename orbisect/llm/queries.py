@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import html_text, line_dedup, mixing, quality, simhash, token_files, url_rules, warc
+from . import html_text, imatch, line_dedup, mixing, quality, simhash, token_files, url_rules, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -51,6 +51,10 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op8_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.fingerprinted(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.rated(table(spark, sf_dir, "documents"))
 
@@ -101,6 +105,7 @@ def queries() -> dict[str, Query]:
         "op4_line_dedup": op4_line_dedup,
         "op5_url_rules": op5_url_rules,
         "op7_simhash": op7_simhash,
+        "op8_imatch": op8_imatch,
         "op9_quality": op9_quality,
         "op10_html_text": op10_html_text,
     }
