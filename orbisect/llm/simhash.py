@@ -99,10 +99,9 @@ def grouped(docs: DataFrame, size: int = 3, most: int = 3, folder: str | None =
     distinct = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), folder, "distinct")
     roots = connected(looked_up(distinct.select("fp"), folder, most), folder)
     named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    named = written(named, folder, "named")
     # A group's least doc_id is the least of its fingerprints'; only groups of several fingerprints are summed up.
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = written(named.select("fp", "root").join(least, "root"), folder, "classes")
+    classes = named.select("fp", "root").join(least, "root")
     return rows.join(classes, "fp").select("doc_id", "th", "fp", "root", "component_id")
 
 
