@@ -36,7 +36,9 @@ def first_occurrences(hashes: DataFrame) -> DataFrame:
 
 def dropped_runs(docs: DataFrame, folder: str, min_docs: int, min_chars: int = 1) -> DataFrame:
     """DOC and `runs`, an array of (start, len): the lines that go, for documents that lose any."""
-    found = written(first_occurrences(line_hashes(docs, min_chars)), folder, "occurrences")
+    # Hashes are written first: dealing by ranges reads its input twice, and hashing is the costly part.
+    hashes = written(line_hashes(docs, min_chars), folder, "hashes")
+    found = written(first_occurrences(hashes), folder, "occurrences")
     frequent = written(found.groupBy(*KEY).agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select(*KEY), folder, "frequent")
     gone = found.join(frequent, list(KEY), "left_semi").select(*DOC, F.explode("__at").alias("pos"))
     by_doc = Window.partitionBy(*DOC).orderBy("pos")
