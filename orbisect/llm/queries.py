@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import html_text, imatch, line_dedup, mixing, quality, simhash, token_files, url_rules, warc
+from . import html_text, imatch, line_dedup, mixing, pieces, quality, simhash, token_files, url_rules, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -46,6 +46,10 @@ FROM flagged GROUP BY doc_id
 """
 
 
+def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digested(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = simhash.grouped(table(spark, sf_dir, "documents").select("doc_id", "text"), size=3, most=3)
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -104,6 +108,7 @@ def queries() -> dict[str, Query]:
         "op3_warc": op3_warc,
         "op4_line_dedup": op4_line_dedup,
         "op5_url_rules": op5_url_rules,
+        "op6_pieces": op6_pieces,
         "op7_simhash": op7_simhash,
         "op8_imatch": op8_imatch,
         "op9_quality": op9_quality,
