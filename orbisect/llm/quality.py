@@ -122,9 +122,12 @@ def fences_of(bins: DataFrame, fences: tuple[Fence, ...] = FENCES, least_docs: i
 
     named = [f"{side}_{f.name}" for f in fences for side in ("low", "high")]
     rows = quartiles.groupBy("level", "lang", "source").agg(F.max("docs").alias("docs"), *(b for f in fences for b in bounds(f)))
-    part = lambda k: rows.where(f"level = {k}").select(F.lit(0).alias("one"), F.col("lang").alias(f"lang{k}"), F.col("source").alias(f"source{k}"), F.struct("docs", *named).alias(f"b{k}"))
-    finest = part(2)
-    by_lang = finest.join(part(1).drop("one"), F.col("lang2").eqNullSafe(F.col("lang1")), "left").join(part(0), "one", "left")
+    # A group's own fences, its language's, and those of all; the window holds a row for each group.
+    packed = rows.select("level", "lang", "source", F.struct("docs", *named).alias("b"))
+    packed = packed.withColumn("b0", F.max(F.when(F.col("level") == 0, F.col("b"))).over(Window.partitionBy()))
+    finest = packed.where("level = 2").select(F.col("lang").alias("lang2"), F.col("source").alias("source2"), F.col("b").alias("b2"), "b0")
+    langs = packed.where("level = 1").select(F.col("lang").alias("lang1"), F.col("b").alias("b1"))
+    by_lang = finest.join(langs, F.col("lang2").eqNullSafe(F.col("lang1")), "left")
     enough = lambda k: F.col(f"b{k}.docs") >= least_docs
     chosen = F.when(enough(2), F.col("b2")).when(enough(1), F.col("b1")).otherwise(F.col("b0"))
     return by_lang.select(F.col("lang2").alias("lang"), F.col("source2").alias("source"), chosen.alias("b")).select("lang", "source", *(f"b.{c}" for c in named))
