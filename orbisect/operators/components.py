@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from ..session import written
 
 
 def connected(links: DataFrame, folder: str, most_rounds: int = 60) -> DataFrame:

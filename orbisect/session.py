@@ -1,10 +1,14 @@
-"""What the library needs of a session."""
+"""What the library needs of a session: a folder that all executors share, tables written there, and its own code."""
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import uuid
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def reachable(spark: SparkSession) -> SparkSession:
@@ -18,6 +22,28 @@ def reachable(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def table(spark: SparkSession, sf_dir: str, name: str):
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A Parquet table of a folder of tables."""
     return reachable(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; where that is unset, as in tests, a temporary one that goes at exit."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        base = "file://" + tempfile.mkdtemp(prefix="orbisect-")
+        atexit.register(shutil.rmtree, base.removeprefix("file://"), ignore_errors=True)
+        spark.conf.set("spark.checkpoint.dir", base)
+    return base.rstrip("/") if "://" in base else "file://" + base.rstrip("/")
+
+
+def workspace(spark: SparkSession, name: str) -> str:
+    """A new folder of its own for one call of an operator, below shared_dir()."""
+    return f"{shared_dir(spark)}/orbisect/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, folder: str, name: str) -> DataFrame:
+    """df as a Parquet table in the shared folder: computed once, and no task depends on an executor's disk."""
+    path = f"{folder}/{name}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
