@@ -1,16 +1,15 @@
-"""Helpers that the corpus operators share: folders, written tables, words and ASCII case."""
+"""Helpers that the corpus operators share: stores, words, identities and ASCII case."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 import pyarrow.fs as pafs
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..session import workspace, written
+
+__all__ = ["ascii_lower", "filesystem", "identity", "stripped", "words", "workspace", "written"]
+
 #: Words and white space as the operators see them: runs of anything but space, tab, LF, VT, FF and CR.
 WORD = r"[^\x20\x09-\x0D]+"
 BLANKS = " \t\n\x0b\x0c\r"
@@ -19,28 +18,6 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 PLAIN = r"^[\x00-\x7F -¿ß-ÿ‐-‧]*$"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where that is unset, as in tests, a temporary one that goes at exit."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="orbisect-")
-        atexit.register(shutil.rmtree, base.removeprefix("file://"), ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/") if "://" in base else "file://" + base.rstrip("/")
-
-
-def workspace(spark: SparkSession, name: str) -> str:
-    """A new folder of its own for one call of an operator, below shared_dir()."""
-    return f"{shared_dir(spark)}/orbisect/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, folder: str, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: computed once, and no task depends on an executor's disk."""
-    path = f"{folder}/{name}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     """The store and the path in it that a URI of the shared folder names; works on executors too."""
     return pafs.FileSystem.from_uri(uri)

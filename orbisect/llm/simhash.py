@@ -16,8 +16,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.components import connected
 from .common import workspace, written
-from .components import connected
 
 SEED = 42
 #: Segment values that more distinct fingerprints than this share are cut once more.
