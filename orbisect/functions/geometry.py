@@ -70,9 +70,16 @@ def reciprocal(lat: Lattice) -> list[list[Column]]:
     return [[c / v for c in cross(lat[(i + 1) % 3], lat[(i + 2) % 3])] for i in range(3)]
 
 
-def to_fractional(position: Vector, lat: Lattice, inside: bool = False) -> list[Column]:
-    """Fractional coordinates; inside: each wrapped into [0, 1)."""
-    f = [dot(position, r) for r in reciprocal(lat)]
+def with_reciprocal(lattices, name: str = "reciprocal"):
+    """struct_id, lattice and its reciprocal rows as arrays. Joined to atoms it is computed once a structure, and the long
+    expressions don't end up in each atom's."""
+    rows = F.array(*(F.array(*r) for r in reciprocal(lattice_columns())))
+    return lattices.select("struct_id", "lattice", rows.alias(name))
+
+
+def to_fractional(position: Vector, lat: Lattice, inside: bool = False, inverse: Lattice | None = None) -> list[Column]:
+    """Fractional coordinates; inside: each wrapped into [0, 1); inverse: reciprocal(lat) where it is at hand."""
+    f = [dot(position, r) for r in inverse or reciprocal(lat)]
     return [F.pmod(x, F.lit(1.0)) for x in f] if inside else f
 
 

@@ -47,19 +47,19 @@ def supercell_lattice(lattices: DataFrame, mult: Sequence[int]) -> DataFrame:
 def sphere(atoms: DataFrame, lattices: DataFrame, radius: float = 10.0, mult: int = 0, correction: bool = True) -> DataFrame:
     """Atoms of all cells whose lattice point lies within a radius (mult times the longest vector where mult is given);
     correction: wider by how far atoms lie outside their cell."""
-    lat = G.lattice_columns()
-    rows = atoms.join(lattices.select("struct_id", "lattice"), "struct_id").withColumn("src_atom_idx", F.col("atom_idx"))
+    lat, rec = G.lattice_columns(), G.lattice_columns("reciprocal")
+    rows = atoms.join(G.with_reciprocal(lattices), "struct_id").withColumn("src_atom_idx", F.col("atom_idx"))
     reach = F.greatest(*G.lengths(lat)) * mult if mult else F.lit(float(radius))
     if correction:
-        f = F.greatest(*(F.abs(x) for x in G.to_fractional(G.columns(), lat)))
+        f = F.greatest(*(F.abs(x) for x in G.to_fractional(G.columns(), lat, inverse=rec)))
         outside = F.greatest(F.lit(0.0), F.max(f).over(Window.partitionBy("struct_id")) - 1)
         reach = reach + outside * F.greatest(*G.lengths(lat))
     rows = rows.withColumn("__r", reach)
-    for n, r in zip(("na", "nb", "nc"), G.reciprocal(lat), strict=True):
+    for n, r in zip(("na", "nb", "nc"), rec, strict=True):
         far = F.ceil(F.col("__r") * G.norm(r)).cast("int")
         rows = rows.withColumn(n, F.explode(F.sequence(-far, far)))
     point = G.to_cartesian([F.col(n).cast("double") for n in ("na", "nb", "nc")], lat)
-    return _placed(rows.where(G.norm(point) <= F.col("__r")).drop("__r"))
+    return _placed(rows.where(G.norm(point) <= F.col("__r")).drop("__r", "reciprocal"))
 
 
 def centred_supercell(atoms: DataFrame, lattices: DataFrame, mult: Sequence[int] = (3, 3, 3)) -> DataFrame:
@@ -85,12 +85,12 @@ def packing(atoms: DataFrame, lattices: DataFrame, spacing: float = 0.25) -> Dat
     many spheres hold is merged before it moves.
     """
     largest = max(E.CONTACT.values())
-    lat = G.lattice_columns()
+    lat, rec = G.lattice_columns(), G.lattice_columns("reciprocal")
     r = E.contact(F.col("element"))
-    every = images(atoms, lattices, largest).join(lattices.select("struct_id", "lattice"), "struct_id").withColumn("r", r)
-    f = G.to_fractional(G.columns(), lat)
-    for n, x, length, rec in zip("abc", f, G.lengths(lat), G.reciprocal(lat), strict=True):
-        per, span = length / spacing, F.col("r") * G.norm(rec)
+    every = images(atoms, lattices, largest).join(G.with_reciprocal(lattices), "struct_id").withColumn("r", r)
+    f = G.to_fractional(G.columns(), lat, inverse=rec)
+    for n, x, length, row in zip("abc", f, G.lengths(lat), rec, strict=True):
+        per, span = length / spacing, F.col("r") * G.norm(row)
         low = F.greatest(F.ceil((x - span) * per), F.lit(0)).cast("int")
         high = F.least(F.floor((x + span) * per), F.ceil(per) - 1).cast("int")
         every = every.withColumn(f"i{n}", F.explode(F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))))

@@ -84,17 +84,16 @@ def bonds(atoms: DataFrame, mult: float = 1.2, skin: float = 0.0) -> DataFrame:
 def images(atoms: DataFrame, lattices: DataFrame, radius: float) -> DataFrame:
     """Atoms in their cell (wrapped) and all copies in neighbouring cells within the radius of the cell, with the cell's
     number na, nb, nc. How many cells that is follows from the lattice's reciprocal rows, so no atom is missed."""
-    lat = G.lattice_columns()
-    rows = atoms.join(lattices.select("struct_id", "lattice"), "struct_id")
-    f = G.to_fractional(G.columns(), lat, inside=True)
-    rows = rows.withColumns(dict(zip(("fa", "fb", "fc"), f, strict=True)))
-    for n, r in zip(("na", "nb", "nc"), G.reciprocal(lat), strict=True):
-        reach = F.ceil(radius * G.norm(r)).cast("int")
-        rows = rows.withColumn(n, F.explode(F.sequence(-reach, reach)))
+    lat, rec = G.lattice_columns(), G.lattice_columns("reciprocal")
+    rows = atoms.join(G.with_reciprocal(lattices), "struct_id")
+    rows = rows.withColumns(dict(zip(("fa", "fb", "fc"), G.to_fractional(G.columns(), lat, inside=True, inverse=rec), strict=True)))
+    for n, r in zip(("na", "nb", "nc"), rec, strict=True):
         span = radius * G.norm(r)
+        reach = F.ceil(span).cast("int")
+        rows = rows.withColumn(n, F.explode(F.sequence(-reach, reach)))
         rows = rows.where((F.col(f"f{n[1]}") + F.col(n) >= -span) & (F.col(f"f{n[1]}") + F.col(n) <= 1 + span))
     xyz = G.to_cartesian([F.col(f"f{c}") + F.col(f"n{c}") for c in "abc"], lat)
-    return rows.withColumns(dict(zip("xyz", xyz, strict=True))).drop("lattice", "fa", "fb", "fc")
+    return rows.withColumns(dict(zip("xyz", xyz, strict=True))).drop("lattice", "reciprocal", "fa", "fb", "fc")
 
 
 def periodic_neighbours(atoms: DataFrame, lattices: DataFrame, cutoff: float | Column, largest: float, keep: Sequence[str] = ("element",)) -> DataFrame:

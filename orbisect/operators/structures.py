@@ -88,8 +88,9 @@ def with_mass(atoms: DataFrame) -> DataFrame:
 
 def centres(atoms: DataFrame) -> DataFrame:
     """struct_id, mass, com_x, com_y, com_z: one aggregation, merged before it moves."""
-    sums = [(F.sum(F.col("mass") * F.col(c)) / F.sum("mass")).alias(f"com_{c}") for c in "xyz"]
-    return with_mass(atoms).groupBy("struct_id").agg(F.sum("mass").alias("mass"), *sums)
+    total = F.sum("mass").cast("double")  # decimals are summed exactly and divided as doubles
+    sums = [(F.sum(F.col("mass") * F.col(c)).cast("double") / total).alias(f"com_{c}") for c in "xyz"]
+    return with_mass(atoms).groupBy("struct_id").agg(total.alias("mass"), *sums)
 
 
 def density(atoms: DataFrame, lattices: DataFrame) -> DataFrame:
@@ -102,9 +103,9 @@ def density(atoms: DataFrame, lattices: DataFrame) -> DataFrame:
 def inertia(atoms: DataFrame) -> DataFrame:
     """struct_id and six entries of the inertia tensor, divided by the sum of m r2: one hash aggregation."""
     x, y, z, m = (F.col(c) for c in ("x", "y", "z", "mass"))
-    total = F.sum(m * (x * x + y * y + z * z))
+    total = F.sum(m * (x * x + y * y + z * z)).cast("double")
     parts = {"ixx": m * (y * y + z * z), "iyy": m * (x * x + z * z), "izz": m * (x * x + y * y), "ixy": -m * x * y, "ixz": -m * x * z, "iyz": -m * y * z}
-    return with_mass(atoms).groupBy("struct_id").agg(*((F.sum(v) / total).alias(k) for k, v in parts.items()))
+    return with_mass(atoms).groupBy("struct_id").agg(*((F.sum(v).cast("double") / total).alias(k) for k, v in parts.items()))
 
 
 def extents(atoms: DataFrame, radius: Column | None = None) -> DataFrame:
@@ -158,8 +159,8 @@ def boxed(atoms: DataFrame, vacuum: float = 40.0) -> DataFrame:
 
 def fractional(atoms: DataFrame, lattices: DataFrame, inside: bool = False) -> DataFrame:
     """atoms with fa, fb, fc."""
-    f = G.to_fractional(G.columns(), G.lattice_columns(), inside)
-    return atoms.join(lattices.select("struct_id", "lattice"), "struct_id").withColumns(dict(zip(("fa", "fb", "fc"), f, strict=True)))
+    f = G.to_fractional(G.columns(), G.lattice_columns(), inside, G.lattice_columns("reciprocal"))
+    return atoms.join(G.with_reciprocal(lattices), "struct_id").withColumns(dict(zip(("fa", "fb", "fc"), f, strict=True))).drop("reciprocal")
 
 
 def wrapped(atoms: DataFrame, lattices: DataFrame) -> DataFrame:
