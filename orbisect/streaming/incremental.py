@@ -60,6 +60,6 @@ def upsert_stream(stream: DataFrame, table: str, checkpoint: str, key: str = "st
 
 def windowed_counts(events: DataFrame, time: str = "ts", width: str = "1 hour", late: str = "2 hours", by: tuple[str, ...] = ("event_type",)) -> DataFrame:
     """start, by, n, total over event-time windows; as a stream it keeps state as far back as the watermark alone."""
-    marked = events.withWatermark(time, late) if events.isStreaming else events
+    marked = events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late) if events.isStreaming else events
     out = marked.groupBy(F.window(time, width), *by).agg(F.count("*").alias("n"), F.sum(F.col("value").cast("decimal(18,6)")).alias("total"))
     return out.select(F.col("window.start").alias("start"), *by, "n", F.col("total").cast("double").alias("total"))
