@@ -15,7 +15,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 BLANKS = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Characters that lower() changes at most where they are A-Z.
-PLAIN = r"^[\x00-\x7F -¿ß-ÿ‐-‧]*$"
+PLAIN = r"^[\x00-\x7F\u00A0-\u00BF\u00DF-\u00FF\u2010-\u2027]*\z"
 
 
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:

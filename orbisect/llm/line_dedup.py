@@ -65,9 +65,9 @@ def deduplicated(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, folder
     """
     folder = folder or workspace(docs.sparkSession, "lines")
     runs = written(dropped_runs(docs, folder, min_docs, min_chars), folder, "bitmaps")
-    rows = docs.select("*", *identity()).join(runs, list(DOC), "left")
+    rows = docs.select("*", *identity()).join(runs.withColumnRenamed("runs", "__runs"), list(DOC), "left")
     lines = lines_of(F.col("text"))
-    kept = F.when(F.col("runs").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(without(lines, F.col("runs")), "\n"))
-    dropped = F.coalesce(F.aggregate("runs", F.lit(0), lambda a, r: a + r["len"]), F.lit(0))
+    kept = F.when(F.col("__runs").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(without(lines, F.col("__runs")), "\n"))
+    dropped = F.coalesce(F.aggregate("__runs", F.lit(0), lambda a, r: a + r["len"]), F.lit(0))
     out = rows.withColumn("__kept", kept).withColumn("__n_lines", F.size(lines).cast("long")).withColumn("__n_dropped", dropped.cast("long"))
     return out.select(*(F.col("__kept").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns), "__n_lines", "__n_dropped")

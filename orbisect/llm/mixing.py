@@ -172,9 +172,9 @@ def mixed_texts(docs: DataFrame, mix: Mix = Mix(), folder: str | None = None) ->
     whole = m.rows.select("row", "__d", "__t", "size").join(spans, "row")
     # Rows that repeat a doc_id and a text are one key here; the k-th of them has the k-th list of takes.
     by_row = whole.groupBy("__d", "__t", "row").agg(F.collect_list(F.struct("epoch", "spans", (F.col("n") == F.col("size")).alias("all"))).alias("takes"))
-    takes = by_row.groupBy("__d", "__t").agg(F.collect_list("takes").alias("takes"))
+    takes = by_row.groupBy("__d", "__t").agg(F.collect_list("takes").alias("__takes"))
     numbered = docs.select("*", *identity()).withColumn("__k", F.row_number().over(Window.partitionBy("__d", "__t").orderBy(F.lit(0))))
-    met = numbered.join(takes, ["__d", "__t"]).select("*", F.explode(F.get("takes", F.col("__k") - 1)).alias("__take"))
+    met = numbered.join(takes, ["__d", "__t"]).select("*", F.explode(F.get("__takes", F.col("__k") - 1)).alias("__take"))
     pieces = F.regexp_extract_all("text", F.lit(rf"({WORD}[\x20\x09-\x0D]*)"), F.lit(1))
     some = F.transform(F.array(pieces), lambda w: F.array_join(F.flatten(F.transform("__take.spans", lambda s: F.slice(w, s["first"].cast("int") + 1, s["n"].cast("int")))), ""))[0]
     out = met.withColumn("__text", F.when(F.col("__take.all"), F.col("text")).otherwise(some))
