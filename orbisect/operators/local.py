@@ -114,6 +114,17 @@ def motifs(structures: DataFrame, nn: int = 32, tolerance: float = 10.0) -> Data
     return applied(structures, lambda r: N.motif(*crystal(r), nn, tolerance), "motif string, max_angle double, max_plane_angle double")
 
 
+def packing(structures: DataFrame, spacing: float = 0.25) -> DataFrame:
+    """struct_id, points, occupied, packing_factor, each structure in its row; generators.packing() gives the same for
+    structures too large for that, as rows of points."""
+
+    def fn(r: dict) -> dict:
+        points, occupied = N.packing(*crystal(r), spacing)
+        return {"points": points, "occupied": occupied, "packing_factor": occupied / points}
+
+    return applied(structures, fn, "points long, occupied long, packing_factor double")
+
+
 PAIR = ("id1", "id2")
 
 

@@ -404,7 +404,7 @@ def grid_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return points.groupBy("struct_id").agg(F.count("*").alias("n"), F.round(F.max("x"), 6).alias("last_x"))
 
 
-@query(f"""WITH {SQL_CELLS}, i3 AS (SELECT unnest([-1, 0, 1]) AS s),
+SQL_PACKING = f"""WITH {SQL_CELLS}, i3 AS (SELECT unnest([-1, 0, 1]) AS s),
 points AS (
   SELECT cells.*, i / (a / 0.7) * a AS px, j / (b / 0.7) * b AS py, k / (c / 0.7) * c AS pz
   FROM cells, LATERAL (SELECT unnest(range(0, ceil(a / 0.7)::BIGINT)) AS i), LATERAL (SELECT unnest(range(0, ceil(b / 0.7)::BIGINT)) AS j),
@@ -412,12 +412,21 @@ points AS (
 tested AS (
   SELECT struct_id, px, py, pz, r, min(sqrt(pow(px - (x - floor(x / a) * a) - p.s * a, 2) + pow(py - (y - floor(y / b) * b) - q.s * b, 2) + pow(pz - (z - floor(z / c) * c) - t.s * c, 2))) AS d
   FROM points, i3 p, i3 q, i3 t GROUP BY ALL)
-SELECT struct_id, count(*) AS points, count(*) FILTER (d < r) AS occupied, (count(*) FILTER (d < r))::DOUBLE / count(*) AS packing_factor FROM tested GROUP BY struct_id""")
+SELECT struct_id, count(*) AS points, count(*) FILTER (d < r) AS occupied, (count(*) FILTER (d < r))::DOUBLE / count(*) AS packing_factor FROM tested GROUP BY struct_id"""
+
+
+@query(SQL_PACKING)
 def packing_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = supplier_cells(spark, sf_dir)
     return generators.packing(cells.drop("lattice"), cells, 0.7)
 
 
+@query(SQL_PACKING)
+def packing_share_local(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = supplier_cells(spark, sf_dir)
+    return local.packing(structures.to_structures(cells, cells.select("struct_id", "lattice")), 0.7)
+
+
 @query()
 def best_views(spark: SparkSession, sf_dir: str) -> DataFrame:
     atoms = structures.to_atoms(supplier_molecules(spark, sf_dir))

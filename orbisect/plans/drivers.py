@@ -76,7 +76,7 @@ class PackingFactor(Driver):
     spacing: float = 0.25
 
     def calc(self, rows: DataFrame) -> DataFrame:
-        return generators.packing(structures.to_atoms(rows), lattices_of(rows), self.spacing)
+        return local.packing(rows, self.spacing)
 
 
 @dataclass(frozen=True)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from orbisect.functions import elements as E
 from orbisect.functions import geometry as G
+from orbisect.functions import numerics as N
 from orbisect.operators import dedup, generators, graph, pairs, structures
 from orbisect.streaming import incremental
 
@@ -162,6 +163,7 @@ def test_packing_is_the_share_of_points(spark):
         for s in np.ndindex(5, 5, 5):
             hit |= np.linalg.norm(grid - np.array(p) - (np.array(s) - 2) @ lat, axis=1) < r
     assert (got.points, got.occupied) == (len(grid), hit.sum())
+    assert N.packing(np.array([[0.5, 0.4, 0.3], [2.5, 3.0, 2.0]]), ["C", "H"], lat, 0.5) == (len(grid), hit.sum())
 
 
 def test_supercells(spark):
