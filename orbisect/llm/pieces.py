@@ -21,13 +21,15 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import workspace, written
 
 GIANT, CHUNK = 65_536, 16_384
-MEMO = 1_000_000
+#: Pairs of pieces and words that a process keeps.
+MEMO, WORDS = 1_000_000, 500_000
 #: Fixed values of SentencePiece: piece types, model types, and what an unknown character costs a unigram path.
 NORMAL, USER_DEFINED, UNUSED = 1, 4, 5
 UNIGRAM, BPE = 1, 2
@@ -52,6 +54,11 @@ class Model:
         self.longest = max(map(len, self.ids))
         self.starts = {p[:k] for p in self.ids for k in range(1, len(p) + 1)}
         self.byte_ids = [self.library.piece_to_id(f"<0x{b:02X}>") for b in range(256)] if proto.trainer_spec.byte_fallback else None
+        # Whether spaces cut all merges: no piece holds a space after another character. A text begins with a space, too.
+        apart = all("▁" not in p.lstrip("▁") for p in self.ids) and self.kind == BPE
+        self.cut_by_space = apart and proto.normalizer_spec.name == "identity" and proto.normalizer_spec.add_dummy_prefix
+        self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.memo: dict[tuple[str, str], bool] = {}
         self.alone: dict[str, bool] = {}
 
@@ -108,6 +115,45 @@ class Model:
         return out
 
 
+    def encode(self, texts: list[str]) -> pa.ListArray:
+        """The library's ids of each text. Where spaces cut all merges, a word's ids don't depend on its neighbours, and each
+        distinct word is encoded once; texts with spaces side by side or at an end go to the library whole."""
+        plain = [bool(t) and self.cut_by_space and "  " not in t and t[0] != " " and t[-1] != " " and "▁" not in t for t in texts]
+        own = [t for t, p in zip(texts, plain, strict=True) if p]
+        flat, sizes = self.by_words(own) if own else (np.empty(0, np.int32), np.empty(0, np.int64))
+        if len(own) == len(texts):
+            offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
+            return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
+        rest = iter(self.library.encode([t for t, p in zip(texts, plain, strict=True) if not p], num_threads=1))
+        parts = iter(np.split(flat, np.cumsum(sizes)[:-1]) if own else [])
+        return pa.array([next(parts if p else rest) for p in plain], pa.list_(pa.int32()))
+
+    def by_words(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        split = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        offsets = split.offsets.to_numpy()
+        codes = split.flatten().dictionary_encode()
+        unique, index = codes.dictionary.to_pylist(), codes.indices.to_numpy()
+        parts = self.look_up(unique)
+        table = np.frombuffer(b"".join(parts), np.int32)
+        size = np.array([len(p) // 4 for p in parts], np.int64)
+        begin, n = np.cumsum(size) - size, size[index]
+        ends = np.cumsum(n)
+        flat = table[np.repeat(begin[index] - (ends - n), n) + np.arange(ends[-1])]
+        return flat, np.diff(np.concatenate(([0], ends))[offsets])
+
+    def look_up(self, keys: list[str]) -> list[bytes]:
+        """Ids of words; of two generations of the memo the older goes when the newer is full."""
+        missing = [k for k in keys if k not in self.words]
+        fresh = [k for k in missing if k not in self.older]
+        self.words.update((k, self.older[k]) for k in missing if k in self.older)
+        for k, ids in zip(fresh, self.library.encode(fresh, num_threads=1), strict=True):
+            self.words[k] = np.array(ids, np.int32).tobytes()
+        parts = [self.words[k] for k in keys]
+        if len(self.words) > WORDS:
+            self.words, self.older = {}, self.words
+        return parts
+
+
 @cache
 def model(path: str) -> Model:
     return Model(path)
@@ -301,8 +347,7 @@ def _joined(named: DataFrame, path: str, folder: str, chunk: int) -> DataFrame:
         for b in batches:
             for i in range(0, b.num_rows, 500):
                 part = b.slice(i, 500)
-                ids = model(path).library.encode(part.column("text").to_pylist(), num_threads=1)
-                yield pa.RecordBatch.from_arrays([part.column("rest"), pa.array(ids, pa.list_(pa.int32()))], ["rest", "ids"])
+                yield pa.RecordBatch.from_arrays([part.column("rest"), model(path).encode(part.column("text").to_pylist())], ["rest", "ids"])
 
     kind = schema["rest"].dataType.simpleString()
     short = named.where("NOT long").select("rest", "text").mapInArrow(run, f"rest {kind}, ids array<int>")
@@ -330,13 +375,15 @@ def digested(docs: DataFrame, path: str, folder: str | None = None) -> DataFrame
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, crc, sha = [], [], []
-            for ids, text in zip(b.column("ids"), b.column("text"), strict=True):
-                own = ids.values.to_numpy().astype("<u4") if ids.is_valid else np.empty(0, "<u4")
-                n.append(len(own))
-                crc.append(zlib.crc32(own.tobytes()))
-                sha.append(hashlib.sha256(text.as_py().encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array(sha)], ["doc_id", "n_ids", "ids_crc32", "decoded_sha256"])
-
-    back = decoded(encoded(docs.select(F.col("doc_id").cast("long"), "text"), path, folder), path)
-    return back.select("doc_id", "ids", "text").mapInArrow(run, "doc_id long, n_ids long, ids_crc32 long, decoded_sha256 string")
+            for i in range(0, b.num_rows, 500):
+                part = b.slice(i, 500)
+                n, crc, sha = [], [], []
+                for ids in part.column("ids"):
+                    own = ids.values.to_numpy() if ids.is_valid else np.empty(0, np.int32)
+                    n.append(len(own))
+                    crc.append(zlib.crc32(own.astype("<u4").tobytes()))
+                    sha.append(hashlib.sha256(model(path).library.decode(own.tolist()).encode()).hexdigest())
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array(sha)], ["doc_id", "n_ids", "ids_crc32", "decoded_sha256"])
+
+    rows = encoded(docs.select(F.col("doc_id").cast("long"), "text"), path, folder)
+    return rows.select("doc_id", "ids").mapInArrow(run, "doc_id long, n_ids long, ids_crc32 long, decoded_sha256 string")
