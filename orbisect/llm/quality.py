@@ -147,7 +147,8 @@ def with_verdict(rows: DataFrame, m: str, lang: str, source: str, thresholds: Da
     """rows with the boolean `name`; m: their column of measures."""
     t = thresholds.select(*(F.col(c).alias(f"__{c}") for c in thresholds.columns))
     on = F.col(lang).eqNullSafe(F.col("__lang")) & F.col(source).eqNullSafe(F.col("__source"))
-    verdict = ~base_failed(F.col(m)) & inside(F.col(m), lambda c: F.col(f"__{c}"))
+    # One condition over both sides: a conjunct on measures alone would be pushed below and compute them once more.
+    verdict = F.when(base_failed(F.col(m)), F.lit(False)).otherwise(inside(F.col(m), lambda c: F.col(f"__{c}")))
     return rows.join(t, on, "left").withColumn(name, verdict).drop(*t.columns)
 
 
