@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import elements as E
 from ..functions import geometry as G
 from ..session import workspace
 from .components import connected
+from .pairs import within
+from .structures import formulas
 
 
 def molecules(atoms: DataFrame, bonds: DataFrame, folder: str | None = None) -> DataFrame:
@@ -110,3 +113,44 @@ def component_counts(mols: DataFrame) -> DataFrame:
 
 def is_dimer(n_molecules: str = "n_molecules", lattice: str = "lattice") -> Column:
     return (F.col(n_molecules) == 2) & (F.coalesce(F.size(lattice), F.lit(0)) <= 0)
+
+
+def bonding_signatures(atoms: DataFrame, mults: list[float]) -> DataFrame:
+    """formula, mult, struct_id, signature for each bond multiplier: what dedup.unique_by_bonding() chooses among.
+
+    Distances are found once, for the largest multiplier; smaller ones filter the same pairs.
+    """
+    rows = atoms.withColumn("r", E.covalent(F.col("element")))
+    largest = max(mults) * 2 * max(E.COVALENT.values())
+    near = within(rows, max(mults) * (F.col("r1") + F.col("r2")), largest, keep=("r", "element"), ordered=True)
+    each = F.explode(F.array(*(F.lit(float(m)) for m in mults))).alias("mult")
+    bonded = near.select("struct_id", "i", "d", "r1", "r2", "element2", each).where(F.col("d") <= F.col("mult") * (F.col("r1") + F.col("r2")))
+    listed = bonded.groupBy("struct_id", "mult", F.col("i").alias("atom_idx")).agg(F.array_join(F.array_sort(F.collect_list("element2")), "").alias("n"))
+    every = atoms.select("struct_id", "atom_idx", "element", each).join(listed, ["struct_id", "mult", "atom_idx"], "left")
+    named = every.select("struct_id", "mult", F.concat("element", F.coalesce("n", F.lit(""))).alias("neighbourhood"))
+    parts = named.groupBy("struct_id", "mult", "neighbourhood").agg(F.count("*").alias("n"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("neighbourhood", "n"))), lambda p: F.concat_ws(":", p["neighbourhood"], p["n"].cast("string"))), ",")
+    return parts.groupBy("struct_id", "mult").agg(text.alias("signature")).join(formulas(atoms), "struct_id").select("formula", "mult", "struct_id", "signature")
+
+
+def neighbours_by_element(neighbours: DataFrame) -> DataFrame:
+    """struct_id, i and `near`: for each element, the neighbours of that element in order of distance. A map rather than a
+    column an element, so that the elements needn't be known before."""
+    lists = neighbours.groupBy("struct_id", "i", "element2").agg(F.array_sort(F.collect_list(F.struct("d", "j"))).alias("l"))
+    return lists.groupBy("struct_id", "i").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("element2", F.transform("l", lambda x: x["j"]))))).alias("near"))
+
+
+def interactions(neighbours: DataFrame, mols: DataFrame) -> DataFrame:
+    """Neighbours (struct_id, i, j, d, ...) whose atoms are in different molecules."""
+    of = lambda n, k: mols.select("struct_id", F.col("atom_idx").alias(k), F.col("mol_idx").alias(f"mol_idx{n}"))
+    met = neighbours.join(of(1, "i"), ["struct_id", "i"]).join(of(2, "j"), ["struct_id", "j"])
+    return met.where("mol_idx1 <> mol_idx2")
+
+
+def molecule_displacements(first: DataFrame, second: DataFrame, mols: DataFrame) -> DataFrame:
+    """struct_id, mol_idx, displacement: the mean distance of each molecule's atoms in two poses, met by index."""
+    a = first.select("struct_id", "atom_idx", *(F.col(c).alias(f"{c}1") for c in "xyz"))
+    b = second.select("struct_id", "atom_idx", *(F.col(c).alias(f"{c}2") for c in "xyz"))
+    met = a.join(b, ["struct_id", "atom_idx"]).join(mols, ["struct_id", "atom_idx"])
+    d = G.distance([F.col(f"{c}1") for c in "xyz"], [F.col(f"{c}2") for c in "xyz"])
+    return met.groupBy("struct_id", "mol_idx").agg(F.avg(d).alias("displacement"))

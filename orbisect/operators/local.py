@@ -164,3 +164,39 @@ def dimer_parameters(dimers: DataFrame, mult: float = 1.2) -> DataFrame:
         return {k: v.tolist() for k, v in p.items()}
 
     return applied(dimers, fn, "rot1 array<array<double>>, rot2 array<array<double>>, trans array<double>")
+
+
+def matched_orders(pairs: DataFrame, mult: float = 1.2) -> DataFrame:
+    """id1, id2, order: the second's atoms in the order of the first's; null where their graphs differ."""
+
+    def fn(r: dict) -> dict:
+        (a, ea), (b, eb) = molecule(r, "1"), molecule(r, "2")
+        return {"order": N.matched_order(ea, N.bond_lists(a, ea, mult), eb, N.bond_lists(b, eb, mult))}
+
+    return applied(pairs, fn, "order array<int>", PAIR)
+
+
+def unique_angles(structures: DataFrame, spacing: int = 60, max_angle: int = 360, max_rot: int = 4) -> DataFrame:
+    """A row for each rotation of a grid that a molecule's symmetry doesn't repeat."""
+    fn = lambda r: [dict(zip("abc", a, strict=True)) for a in N.unique_angles(*molecule(r), spacing, max_angle, max_rot)]
+    return applied(structures, fn, "a int, b int, c int")
+
+
+def residues(structures: DataFrame, n: int) -> DataFrame:
+    """struct_id, mult, molecules: each structure parted into n kinds of molecules by the first multiplier that does it."""
+
+    def fn(r: dict) -> dict:
+        mult, parts = N.residues(*molecule(r), n)
+        return {"mult": mult, "molecules": parts}
+
+    return applied(structures, fn, "mult double, molecules array<array<int>>")
+
+
+def parameters(structures: DataFrame) -> DataFrame:
+    """struct_id, coms, orientations of crystals of one kind of molecule."""
+
+    def fn(r: dict) -> dict:
+        p = N.crystal_parameters(*crystal(r))
+        return {"coms": [c.tolist() for c in p["coms"]], "orientations": [o.tolist() for o in p["orientations"]]}
+
+    return applied(structures, fn, "coms array<array<double>>, orientations array<array<array<double>>>")
