@@ -29,7 +29,7 @@ from .common import workspace, written
 
 GIANT, CHUNK = 65_536, 16_384
 #: Pairs of pieces and words that a process keeps.
-MEMO, WORDS = 1_000_000, 500_000
+MEMO, WORDS = 300_000, 250_000
 #: Fixed values of SentencePiece: piece types, model types, and what an unknown character costs a unigram path.
 NORMAL, USER_DEFINED, UNUSED = 1, 4, 5
 UNIGRAM, BPE = 1, 2

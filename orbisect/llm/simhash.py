@@ -17,29 +17,33 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.components import connected
-from .common import workspace, written
+from .common import DOC, identity, workspace, written
 
 SEED = 42
 #: Segment values that more distinct fingerprints than this share are cut once more.
 CROWDED = 256
 
 
-def fingerprint(text: str | None, size: int = 3, seed: int = SEED) -> int:
-    """Each bit is 1 if set in over half of the hashes of the text's shingles of `size` words, repeats included."""
+def shingle_hashes(text: str | None, size: int, seed: int = SEED) -> np.ndarray:
+    """XXH64 of each shingle, repeats included; fewer words than `size` are one shingle."""
     w = (text or "").encode().lower().split()  # on bytes: A-Z and ASCII white space only
     if not w:
-        return 0
+        return np.empty(0, "<u8")
     joined, ends = b" ".join(w), np.cumsum([len(x) + 1 for x in w])
     n = max(1, len(w) - size + 1)
     starts = [0, *ends[: n - 1].tolist()]
     stops = (ends[len(w) - n :] - 1).tolist()
-    counts = np.zeros(64, np.int64)
     hashed = xxhash.xxh64_intdigest
-    for i in range(0, n, 1 << 16):
-        part = zip(starts[i : i + (1 << 16)], stops[i : i + (1 << 16)], strict=True)
-        h = np.array([hashed(joined[a:b], seed) for a, b in part], "<u8")
-        counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * counts > n, bitorder="little").view("<i8")[0])
+    return np.fromiter((hashed(joined[a:b], seed) for a, b in zip(starts, stops, strict=True)), "<u8", n)
+
+
+def fingerprint(text: str | None, size: int = 3, seed: int = SEED) -> int:
+    """Each bit is 1 if set in over half of the hashes of the text's shingles of `size` words, repeats included."""
+    h = shingle_hashes(text, size, seed)
+    counts = np.zeros(64, np.int64)
+    for i in range(0, len(h), 1 << 16):
+        counts += np.unpackbits(h[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * counts > len(h), bitorder="little").view("<i8")[0])
 
 
 def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
@@ -105,12 +109,112 @@ def grouped(docs: DataFrame, size: int = 3, most: int = 3, folder: str | None =
     return rows.join(classes, "fp").select("doc_id", "th", "fp", "root", "component_id")
 
 
-def one_of_each(docs: DataFrame, size: int = 3, most: int = 3, folder: str | None = None) -> DataFrame:
-    """docs with one row of each group: that whose doc_id is the component_id; of rows that tie, the first by text hash."""
-    found = grouped(docs, size, most, folder).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+# Near copies at a similarity of shingle sets, beyond what a few bits of 64 can hold
+
+
+#: 64-bit words of a long fingerprint.
+WORDS = 22
+#: Odd constants that spread one hash over many words (the golden ratio's fraction and two mixing primes, fixed values).
+SPREAD, MIX1, MIX2 = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
+
+
+def long_fingerprint(text: str | None, size: int = 5, words: int = WORDS, seed: int = SEED) -> tuple[list[int], int]:
+    """The SimHash of a text over `words` 64-bit words as signed longs, and how many shingles it has. Each shingle is hashed
+    once; its further words are mixed from that hash."""
+    h = shingle_hashes(text, size, seed)
+    if not len(h):
+        return [0] * words, 0
+    counts = np.zeros((words, 64), np.int64)
+    with np.errstate(over="ignore"):
+        for i in range(0, len(h), 1 << 14):
+            part = h[i : i + (1 << 14)]
+            for k in range(words):
+                x = part + np.uint64((k + 1) * SPREAD & (1 << 64) - 1)
+                x = (x ^ (x >> np.uint64(30))) * np.uint64(MIX1)
+                x = (x ^ (x >> np.uint64(27))) * np.uint64(MIX2)
+                x ^= x >> np.uint64(31)
+                counts[k] += np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint16)
+    return np.packbits(2 * counts > len(h), axis=1, bitorder="little").reshape(-1).view("<i8").tolist(), len(h)
+
+
+def long_fingerprints(docs: DataFrame, size: int = 5) -> DataFrame:
+    """doc_id, th, fp (longs), n (shingles)."""
+
+    def run(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            found = [long_fingerprint(t.as_py(), size) for t in part.column("text")]
+            fps, n = pa.array([f for f, _ in found], pa.list_(pa.int64())), pa.array([k for _, k in found], pa.int64())
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("th"), fps, n], ["doc_id", "th", "fp", "n"])
+
+    rows = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"))
+    return rows.mapInArrow(run, "doc_id long, th long, fp array<long>, n long")
+
+
+def estimated(a: Column, na: Column, b: Column, nb: Column, bits: int = WORDS * 64) -> Column:
+    """The similarity (shared shingles over all) that two fingerprints' distance stands for: their angle gives the cosine,
+    which with both sizes gives the shared shingles."""
+    apart = F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    shared = F.cos(apart * (np.pi / bits)) * F.sqrt(na * nb)
+    return shared / (na + nb - shared)
+
+
+def similar(fps: DataFrame, folder: str, least: float, crowded: int = 16) -> DataFrame:
+    """Pairs (a, b) of nodes of fps (node, fp, n) whose estimated similarity is `least` or more.
+
+    Every segment is a table; two that agree in any are compared by their whole distance. Segments are three bits wider
+    than the logarithm of the number of fingerprints, so that unlike texts meet a few times each however many there are.
+    Of 66 segments of 20 bits, a pair of similarity 0.8 agrees in one with a chance of 0.92, of 0.85 with 0.99, of 0.9
+    with 0.9996; a corpus that needs wider ones needs more WORDS for that. Where more than `crowded` fingerprints share a
+    segment's value, as in large groups of near copies, they are cut by each of three further segments, and those that
+    still agree are compared with the first of them alone, which joins the group without its pairs.
+    """
+    width = max(16, fps.count().bit_length() + 3)
+    per = 64 // width  # segments a word
+    count, mask = WORDS * per, F.lit((1 << width) - 1)
+    segment = lambda j: F.call_function("shiftrightunsigned", F.get("fp", (j / per).cast("int")), (width * (j % per)).cast("int")).bitwiseAND(mask)
+    keys = F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda j: j.cast("long") * (1 << width) + segment(j))
+    every = fps.select("node", keys.alias("keys"))
+    table = every.select("node", F.explode("keys").alias("key"))
+    full = written(table.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > crowded).select("key"), folder, "crowded-segments")
+    plain = table.join(full, "key", "left_anti")
+    pairs = plain.select("key", F.col("node").alias("a")).join(plain.select("key", F.col("node").alias("b")), "key").where("a < b").select("a", "b")
+    cut = every.select("node", "keys", F.explode("keys").alias("key")).join(full, "key", "left_semi")
+    further = F.explode(F.array(*(F.get("keys", (F.expr(f"key div {1 << width}") + d).cast("int") % count) for d in (1, 7, 17))))
+    cut = cut.select("node", "key", further.alias("w"))
+    firsts = cut.groupBy("key", "w").agg(F.min("node").alias("a"))
+    stars = cut.join(firsts, ["key", "w"]).where("a < node").select("a", F.col("node").alias("b"))
+    met = pairs.unionByName(stars).distinct()
+    side = lambda x: fps.select(F.col("node").alias(x), F.col("fp").alias(f"{x}fp"), F.col("n").alias(f"{x}n"))
+    near = met.join(side("a"), "a").join(side("b"), "b")
+    return near.where(estimated(F.col("afp"), F.col("an"), F.col("bfp"), F.col("bn")) >= least).select("a", "b")
+
+
+def grouped_by_similarity(docs: DataFrame, size: int = 5, least: float = 0.8, folder: str | None = None) -> DataFrame:
+    """doc_id, th, root, component_id as grouped(), where texts link at an estimated similarity of their shingle sets of
+    `least` less NOISE. Texts without words are alike; equal texts always link."""
+    folder = folder or workspace(docs.sparkSession, "similar")
+    rows = long_fingerprints(docs, size).select("*", *(F.xxhash64(F.lit(k), "fp", "n").alias(f"h{k}") for k in (1, 2)))
+    rows = written(rows, folder, "fingerprints")
+    same = ["h1", "h2"]
+    distinct = rows.groupBy(*same).agg(F.first("fp").alias("fp"), F.first("n").alias("n"), F.min("doc_id").alias("least"))
+    distinct = written(distinct.withColumn("node", F.monotonically_increasing_id()), folder, "distinct")
+    roots = connected(similar(distinct.select("node", "fp", "n"), folder, least - NOISE), folder)
+    named = distinct.select(*same, "node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    least_id = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    classes = written(named.select(*same, "root").join(least_id, "root"), folder, "classes")
+    return rows.select("doc_id", "th", *same).join(classes, same).select("doc_id", "th", "root", "component_id")
+
+
+#: How far below the wanted similarity an estimate may lie: about its standard error.
+NOISE = 0.02
+
+
+def one_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """docs with one row of each group of `found`: that whose doc_id is the component_id; of rows that tie, the first by
+    text hash."""
+    found = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     first = found.withColumn("n", F.row_number().over(Window.partitionBy("root").orderBy("th"))).where("n = 1")
-    stay = first.select(F.col("doc_id").alias("__d"), F.col("th").alias("__t"))
-    th = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
-    kept = docs.withColumn("__th", th).join(stay, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__th") == F.col("__t")), "left_semi")
-    # Rows that repeat a doc_id and a text are alike to the links: one of them stays.
-    return kept.withColumn("__n", F.row_number().over(Window.partitionBy("doc_id", "__th").orderBy(F.lit(0)))).where("__n = 1").select(*docs.columns)
+    stay = first.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("__d"), F.col("th").alias("__t"))
+    kept = docs.select("*", *identity()).join(stay, list(DOC), "left_semi")
+    # Rows that repeat a doc_id and a text are alike to the links: one of them stays. The text moves once for both steps.
+    return kept.withColumn("__n", F.row_number().over(Window.partitionBy(*DOC).orderBy(F.lit(0)))).where("__n = 1").select(*docs.columns)

@@ -1,7 +1,9 @@
+import random
 import re
 
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from orbisect.llm import simhash as S
 
@@ -53,8 +55,6 @@ def test_groups_are_all_links(docs, rows, size):
 
 @pytest.mark.parametrize("crowded", [0, 2, 10_000])
 def test_every_close_pair_is_met(spark, tmp_path, crowded):
-    import random
-
     rng = random.Random(9)
     values = set()
     for _ in range(40):
@@ -71,11 +71,65 @@ def test_every_close_pair_is_met(spark, tmp_path, crowded):
 
 
 def test_one_of_each_group_stays(docs, rows, clashing):
-    kept = S.one_of_each(docs, 3).collect()
+    kept = S.one_of_each(docs, S.grouped(docs, 3)).collect()
     items = [(i, reference(t)) for i, t, *_ in rows]
     assert len(kept) == len(groups(items, 3, roots=True))
-    assert S.one_of_each(clashing, 3).columns == clashing.columns and S.one_of_each(clashing, 3).count() == len(kept)
+    again = S.one_of_each(clashing, S.grouped(clashing, 3))
+    assert again.columns == clashing.columns and again.count() == len(kept)
 
 
 def test_empty(empty):
-    assert S.grouped(empty).collect() == [] and S.one_of_each(empty).collect() == []
+    assert S.grouped(empty).collect() == [] and S.one_of_each(empty, S.grouped(empty)).collect() == []
+    assert S.grouped_by_similarity(empty).collect() == []
+
+
+def shingles(text, size=5):
+    w = (text or "").encode().lower().split()
+    return frozenset(tuple(w[k : k + size]) for k in range(max(1, len(w) - size + 1))) if w else frozenset()
+
+
+def test_estimates_follow_the_similarity(spark):
+    rng = random.Random(6)
+    base = [f"w{rng.randrange(5000)}" for _ in range(400)]
+    rows = []
+    for k, cut in enumerate((0, 5, 20, 60, 200)):
+        other = base[: 400 - cut] + [f"v{rng.randrange(5000)}" for _ in range(cut)]
+        (a, n), (b, m) = S.long_fingerprint(" ".join(base)), S.long_fingerprint(" ".join(other))
+        x, y = shingles(" ".join(base)), shingles(" ".join(other))
+        rows.append((a, n, b, m, len(x & y) / len(x | y)))
+    df = spark.createDataFrame(rows, "a array<long>, n long, b array<long>, m long, j double")
+    for r in df.select("j", S.estimated(F.col("a"), F.col("n"), F.col("b"), F.col("m")).alias("e")).collect():
+        assert abs(r.j - r.e) < (0.08 if r.j > 0.6 else 0.2)
+
+
+@pytest.mark.parametrize("crowded", [3, 64])
+def test_near_copies_are_grouped(spark, crowded, monkeypatch):
+    """Groups of near copies (a word or two changed in 150) come together; unlike texts, and texts half alike, stay apart."""
+    rng = random.Random(7)
+    said = lambda n: [f"w{rng.randrange(9000)}" for _ in range(n)]
+    rows, group = [], {}
+    for g in range(25):
+        base = said(150)
+        for _ in range(6 if g else 40):
+            w = list(base)
+            for _ in range(rng.randint(0, 2)):
+                w[rng.randrange(150)] = f"x{rng.randrange(9000)}"
+            group[len(rows)] = g
+            rows.append((len(rows), " ".join(w)))
+        half = base[:75] + said(75)
+        group[len(rows)] = ("half", g)
+        rows.append((len(rows), " ".join(half)))
+    similar = S.similar
+    monkeypatch.setattr(S, "similar", lambda fps, folder, least: similar(fps, folder, least, crowded))
+    got = {r.doc_id: r.component_id for r in S.grouped_by_similarity(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    first = {}
+    for i in sorted(group):
+        first.setdefault(group[i], i)
+    assert got == {i: first[g] for i, g in group.items()}
+
+
+def test_odd_texts_are_grouped_with_their_equals(docs, rows):
+    got = S.grouped_by_similarity(docs).collect()
+    assert len(got) == len(rows)
+    blank = {r.component_id for r in got if r.doc_id in (200, 201, 202)}
+    assert blank == {200}
