@@ -8,6 +8,7 @@ value that very many distinct fingerprints share is cut once more, by the same r
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -37,6 +38,11 @@ def shingle_hashes(text: str | None, size: int, seed: int = SEED) -> np.ndarray:
     return np.fromiter((hashed(joined[a:b], seed) for a, b in zip(starts, stops, strict=True)), "<u8", n)
 
 
+def shingle_set(text: str | None, size: int, seed: int = SEED) -> np.ndarray:
+    """The distinct hashes of the shingles as sorted signed longs."""
+    return np.unique(shingle_hashes(text, size, seed).view("<i8"))
+
+
 def fingerprint(text: str | None, size: int = 3, seed: int = SEED) -> int:
     """Each bit is 1 if set in over half of the hashes of the text's shingles of `size` words, repeats included."""
     h = shingle_hashes(text, size, seed)
@@ -109,7 +115,8 @@ def grouped(docs: DataFrame, size: int = 3, most: int = 3, folder: str | None =
     return rows.join(classes, "fp").select("doc_id", "th", "fp", "root", "component_id")
 
 
-# Near copies at a similarity of shingle sets, beyond what a few bits of 64 can hold
+# Near copies at a similarity of shingle sets, beyond what a few bits of 64 can hold: estimates by long fingerprints, and
+# exact links
 
 
 #: 64-bit words of a long fingerprint.
@@ -119,9 +126,9 @@ SPREAD, MIX1, MIX2 = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
 
 
 def long_fingerprint(text: str | None, size: int = 5, words: int = WORDS, seed: int = SEED) -> tuple[list[int], int]:
-    """The SimHash of a text over `words` 64-bit words as signed longs, and how many shingles it has. Each shingle is hashed
-    once; its further words are mixed from that hash."""
-    h = shingle_hashes(text, size, seed)
+    """The SimHash of a text's set of shingles over `words` 64-bit words as signed longs, and the set's size. Each shingle is
+    hashed once; its further words are mixed from that hash."""
+    h = shingle_set(text, size, seed).view("<u8")
     if not len(h):
         return [0] * words, 0
     counts = np.zeros((words, 64), np.int64)
@@ -137,78 +144,144 @@ def long_fingerprint(text: str | None, size: int = 5, words: int = WORDS, seed:
     return np.packbits(2 * counts > len(h), axis=1, bitorder="little").reshape(-1).view("<i8").tolist(), len(h)
 
 
-def long_fingerprints(docs: DataFrame, size: int = 5) -> DataFrame:
-    """doc_id, th, fp (longs), n (shingles)."""
+def estimated(a: Column, na: Column, b: Column, nb: Column, bits: int = WORDS * 64) -> Column:
+    """The similarity (shared shingles over all) that two fingerprints' distance stands for: their angle gives the cosine,
+    which with both sizes gives the shared shingles."""
+    apart = F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    shared = F.cos(apart * (np.pi / bits)) * F.sqrt(na * nb)
+    return shared / (na + nb - shared)
+
+
+def prefix(n: Column, least: float) -> Column:
+    """How many of n shingles, the first in any one order of all shingles, hold one that a set alike by `least` shares."""
+    return (n - F.ceil(n * least - 1e-9) + 1).cast("int")
+
+
+def needed(na: Column, nb: Column, least: float) -> Column:
+    """The least number of shared shingles that makes two sets of na and nb alike by `least`."""
+    return F.ceil((na + nb) * (least / (1 + least)) - 1e-9)
+
+
+def signatures(docs: DataFrame, size: int, least: float) -> DataFrame:
+    """doc_id, th, h1 and h2 (a hash of the set of shingles) and keys, the prefix of the set in the order of hashes."""
 
     def run(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            found = [long_fingerprint(t.as_py(), size) for t in part.column("text")]
-            fps, n = pa.array([f for f, _ in found], pa.list_(pa.int64())), pa.array([k for _, k in found], pa.int64())
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("th"), fps, n], ["doc_id", "th", "fp", "n"])
+            hashes, keys = [], []
+            for t in part.column("text"):
+                s = shingle_set(t.as_py(), size)
+                hashes.append(np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), "<i8"))
+                keys.append(s[: len(s) - math.ceil(len(s) * least - 1e-9) + 1])
+            h = np.array(hashes, "<i8").reshape(-1, 2)
+            columns = [part.column("doc_id"), part.column("th"), pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "th", "h1", "h2", "keys"])
 
     rows = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"))
-    return rows.mapInArrow(run, "doc_id long, th long, fp array<long>, n long")
+    return rows.mapInArrow(run, "doc_id long, th long, h1 long, h2 long, keys array<long>")
 
 
-def estimated(a: Column, na: Column, b: Column, nb: Column, bits: int = WORDS * 64) -> Column:
-    """The similarity (shared shingles over all) that two fingerprints' distance stands for: their angle gives the cosine,
-    which with both sizes gives the shared shingles."""
-    apart = F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    shared = F.cos(apart * (np.pi / bits)) * F.sqrt(na * nb)
-    return shared / (na + nb - shared)
+def shingle_sets(texts: DataFrame, size: int) -> DataFrame:
+    """node and s, the sorted set of shingles, of rows (node, text)."""
+
+    def run(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for k in range(0, part.num_rows, 1000):
+                some = part.slice(k, 1000)
+                sets = [shingle_set(t.as_py(), size) for t in some.column("text")]
+                yield pa.RecordBatch.from_arrays([some.column("node"), pa.array(sets, pa.list_(pa.int64()))], ["node", "s"])
+
+    return texts.select("node", "text").mapInArrow(run, "node long, s array<long>")
+
+
+def met(left: DataFrame, right: DataFrame, least: float, longer: bool = True, more: str = "true") -> DataFrame:
+    """Pairs (a, b), a < b, of rows (t, node, n, i) that share a shingle t, the i-th of each one's n, so early that enough
+    may follow to share. longer: b's set is the larger (of equal ones, the larger node)."""
+    x, y = (rows.select("t", *(F.col(c).alias(f"{c}{k}") for c in rows.columns if c != "t")) for k, rows in ((1, left), (2, right)))
+    order = F.expr("n1 < n2 OR n1 = n2 AND node1 < node2" if longer else "node1 <> node2")
+    enough = F.least(F.expr("n1 - i1"), F.expr("n2 - i2")) >= needed(F.col("n1"), F.col("n2"), least)
+    return x.join(y, (x["t"] == y["t"]) & order & enough & F.expr(more)).select(F.least("node1", "node2").alias("a"), F.greatest("node1", "node2").alias("b"))
+
+
+def verified(pairs: DataFrame, fps: DataFrame, least: float) -> DataFrame:
+    """The pairs whose sets share enough."""
+    side = lambda x: fps.select(F.col("node").alias(x), F.col("s").alias(f"{x}s"))
+    both = pairs.distinct().join(side("a"), "a").join(side("b"), "b")
+    return both.where(F.size(F.array_intersect("as", "bs")) >= needed(F.size("as"), F.size("bs"), least)).select("a", "b")
+
+
+def shorter(rows: DataFrame, least: float) -> DataFrame:
+    """The rows by which a set can meet one that isn't smaller."""
+    return rows.where(F.expr("n - i") >= needed(F.col("n"), F.col("n"), least))
+
+
+def ranked(fps: DataFrame, least: float) -> DataFrame:
+    """t, node, n, i: each set's prefix in the order of how many of the sets hold a shingle. Those that one set alone holds
+    come first and meet nothing; what many share comes last, and is in no prefix where the sets differ enough elsewhere."""
+    held = fps.select("node", F.size("s").alias("n"), F.explode("s").alias("t"))
+    counts = held.groupBy("t").agg(F.count("*").alias("c")).where("c > 1")
+    ordered = held.join(counts, "t").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("c", "t"))).alias("by"))
+    ordered = ordered.withColumn("alone", F.expr("n - size(by)")).withColumn("take", prefix(F.col("n"), least) - F.col("alone"))
+    return ordered.where("take > 0").select("node", "n", "alone", F.posexplode(F.slice("by", 1, F.col("take")))).selectExpr("col.t AS t", "node", "n", "alone + pos AS i")
 
 
 def similar(fps: DataFrame, folder: str, least: float, crowded: int = 16) -> DataFrame:
-    """Pairs (a, b) of nodes of fps (node, fp, n) whose estimated similarity is `least` or more.
-
-    Every segment is a table; two that agree in any are compared by their whole distance. Segments are three bits wider
-    than the logarithm of the number of fingerprints, so that unlike texts meet a few times each however many there are.
-    Of 66 segments of 20 bits, a pair of similarity 0.8 agrees in one with a chance of 0.92, of 0.85 with 0.99, of 0.9
-    with 0.9996; a corpus that needs wider ones needs more WORDS for that. Where more than `crowded` fingerprints share a
-    segment's value, as in large groups of near copies, they are cut by each of three further segments, and those that
-    still agree are compared with the first of them alone, which joins the group without its pairs.
+    """Links (a, b) of nodes of fps (node, s: a sorted set of shingles), each of a similarity of `least` or more, with the
+    same components as all such pairs.
+
+    Whatever one order all shingles are put in, two sets that are so alike share one among the first of each (a fifth, at
+    0.8), so looking these up meets every pair, at every number of texts; those met are compared by their whole sets. The
+    first order is that of hashes. A shingle that more than `crowded` sets would be looked up by is left out there, and
+    the sets that have it are looked up once more in the order of frequency. What still is crowded then is mostly
+    large groups of near copies: all are compared with one of them first, and then only with those that this, and all
+    other links, left in other components.
     """
-    width = max(16, fps.count().bit_length() + 3)
-    per = 64 // width  # segments a word
-    count, mask = WORDS * per, F.lit((1 << width) - 1)
-    segment = lambda j: F.call_function("shiftrightunsigned", F.get("fp", (j / per).cast("int")), (width * (j % per)).cast("int")).bitwiseAND(mask)
-    keys = F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda j: j.cast("long") * (1 << width) + segment(j))
-    every = fps.select("node", keys.alias("keys"))
-    table = every.select("node", F.explode("keys").alias("key"))
-    full = written(table.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > crowded).select("key"), folder, "crowded-segments")
-    plain = table.join(full, "key", "left_anti")
-    pairs = plain.select("key", F.col("node").alias("a")).join(plain.select("key", F.col("node").alias("b")), "key").where("a < b").select("a", "b")
-    cut = every.select("node", "keys", F.explode("keys").alias("key")).join(full, "key", "left_semi")
-    further = F.explode(F.array(*(F.get("keys", (F.expr(f"key div {1 << width}") + d).cast("int") % count) for d in (1, 7, 17))))
-    cut = cut.select("node", "key", further.alias("w"))
-    firsts = cut.groupBy("key", "w").agg(F.min("node").alias("a"))
-    stars = cut.join(firsts, ["key", "w"]).where("a < node").select("a", F.col("node").alias("b"))
-    met = pairs.unionByName(stars).distinct()
-    side = lambda x: fps.select(F.col("node").alias(x), F.col("fp").alias(f"{x}fp"), F.col("n").alias(f"{x}n"))
-    near = met.join(side("a"), "a").join(side("b"), "b")
-    return near.where(estimated(F.col("afp"), F.col("an"), F.col("bfp"), F.col("bn")) >= least).select("a", "b")
+    n = F.size("s")
+    table = fps.select("node", n.alias("n"), F.posexplode(F.slice("s", 1, prefix(n, least)))).selectExpr("col AS t", "node", "n", "pos AS i")
+    full = lambda rows, name: written(shorter(rows, least).groupBy("t").agg(F.count("*").alias("c")).where(F.col("c") > crowded).select("t"), folder, name)
+    crowds = full(table, "crowded")
+    plain = table.join(crowds, "t", "left_anti")
+    again = fps.join(table.join(crowds, "t", "left_semi").select("node").distinct(), "node", "left_semi")
+    second = written(ranked(again, least), folder, "ranked")
+    crowds = full(second, "crowded-again")
+    rest = second.join(crowds, "t", "left_anti")
+    dense = second.join(crowds, "t", "left_semi")
+    centres = shorter(dense, least).groupBy("t").agg(F.min(F.struct(F.xxhash64("node"), "node", "n", "i")).alias("c")).select("t", "c.node", "c.n", "c.i")
+    found = met(shorter(plain, least), plain, least).unionByName(met(shorter(rest, least), rest, least)).unionByName(met(centres, dense, least, longer=False))
+    links = written(verified(found, fps, least), folder, "near")
+    roots = connected(links, f"{folder}/near-roots")
+    named = dense.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    several = named.groupBy("t").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("t")
+    named = written(named.join(several, "t", "left_semi"), folder, "several")
+    return links.unionByName(verified(met(shorter(named, least), named, least, more="root1 <> root2"), fps, least))
 
 
 def grouped_by_similarity(docs: DataFrame, size: int = 5, least: float = 0.8, folder: str | None = None) -> DataFrame:
-    """doc_id, th, root, component_id as grouped(), where texts link at an estimated similarity of their shingle sets of
-    `least` less NOISE. Texts without words are alike; equal texts always link."""
+    """doc_id, th, root, component_id as grouped(), where texts link whose sets of shingles share `least` or more of all
+    that they hold. Texts without words are alike; texts of equal sets always link.
+
+    Sets are known by 64-bit hashes. Only those that share a shingle of their prefix with another are made a second time
+    and moved; see similar()."""
     folder = folder or workspace(docs.sparkSession, "similar")
-    rows = long_fingerprints(docs, size).select("*", *(F.xxhash64(F.lit(k), "fp", "n").alias(f"h{k}") for k in (1, 2)))
-    rows = written(rows, folder, "fingerprints")
+    rows = written(signatures(docs, size, least), folder, "signatures")
     same = ["h1", "h2"]
-    distinct = rows.groupBy(*same).agg(F.first("fp").alias("fp"), F.first("n").alias("n"), F.min("doc_id").alias("least"))
+    first = F.min(F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("__d"), F.col("th").alias("__t")))
+    distinct = rows.groupBy(*same).agg(F.first("keys").alias("keys"), F.min("doc_id").alias("least"), first.alias("first"))
     distinct = written(distinct.withColumn("node", F.monotonically_increasing_id()), folder, "distinct")
-    roots = connected(similar(distinct.select("node", "fp", "n"), folder, least - NOISE), folder)
+    table = distinct.select("node", F.explode("keys").alias("t"))
+    shared = table.groupBy("t").agg(F.count("*").alias("c")).where("c > 1").select("t")
+    some = table.join(shared, "t", "left_semi").select("node").distinct()
+    of = distinct.join(some, "node", "left_semi").select("node", "first.*")
+    texts = docs.select(*identity(), "text").join(of, list(DOC))
+    # Rows that repeat a doc_id and a text are one; they have met already.
+    texts = texts.withColumn("__n", F.row_number().over(Window.partitionBy(*DOC).orderBy(F.lit(0)))).where("__n = 1")
+    sets = written(shingle_sets(texts, size), folder, "sets")
+    roots = connected(similar(sets, folder, least), folder)
     named = distinct.select(*same, "node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least_id = named.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = written(named.select(*same, "root").join(least_id, "root"), folder, "classes")
     return rows.select("doc_id", "th", *same).join(classes, same).select("doc_id", "th", "root", "component_id")
 
 
-#: How far below the wanted similarity an estimate may lie: about its standard error.
-NOISE = 0.02
-
-
 def one_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
     """docs with one row of each group of `found`: that whose doc_id is the component_id; of rows that tie, the first by
     text hash."""

@@ -133,3 +133,39 @@ def test_odd_texts_are_grouped_with_their_equals(docs, rows):
     assert len(got) == len(rows)
     blank = {r.component_id for r in got if r.doc_id in (200, 201, 202)}
     assert blank == {200}
+
+
+def linked(texts, least=0.8, size=5):
+    """The least number of each text's component under all pairs of `least` or more, by brute force."""
+    sets, root = [shingles(t, size) for t in texts], list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a in range(len(texts)):
+        for b in range(a):
+            x, y = sets[a], sets[b]
+            if len(x & y) >= least * len(x | y) - 1e-9 and find(a) != find(b):
+                root[max(find(a), find(b))] = min(find(a), find(b))
+    return {k: find(k) for k in range(len(texts))}
+
+
+def components(spark, texts, **more):
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {r.doc_id: r.component_id for r in S.grouped_by_similarity(rows, **more).collect()}
+
+
+def test_pairs_at_the_threshold_are_met_however_many_texts_there_are(spark):
+    """400 pairs of a similarity of 0.8 to 0.83 among 263,000 other texts."""
+    rng = random.Random(11)
+    texts = []
+    for k in range(400):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(204)]
+        texts += [" ".join(base), " ".join(base[:-19] + [f"y{k}-{j}" for j in range(19)] if k % 2 else base[21:] + [f"z{k}-{j}" for j in range(1)])]
+    own = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    others = spark.range(1000, 264_000).selectExpr("id AS doc_id", "concat('a', id) AS text")
+    got = {r.doc_id: r.component_id for r in S.grouped_by_similarity(own.unionByName(others)).where("doc_id < 1000").collect()}
+    assert got == {k: k - k % 2 for k in range(800)}
+    assert all(0.8 <= len(x & y) / len(x | y) < 0.9 for x, y in ((shingles(texts[k]), shingles(texts[k + 1])) for k in range(0, 800, 2)))
