@@ -224,35 +224,40 @@ def ranked(fps: DataFrame, least: float) -> DataFrame:
     return ordered.where("take > 0").select("node", "n", "alone", F.posexplode(F.slice("by", 1, F.col("take")))).selectExpr("col.t AS t", "node", "n", "alone + pos AS i")
 
 
-def similar(fps: DataFrame, folder: str, least: float, crowded: int = 16) -> DataFrame:
+def cells(rows: DataFrame, folder: str, name: str, least: float, crowded: int) -> tuple[DataFrame, DataFrame]:
+    """The rows whose shingle several sets are looked up by: those that up to `crowded` are, and the others."""
+    first = (F.expr("n - i") >= needed(F.col("n"), F.col("n"), least)).cast("int")
+    held = rows.groupBy("t").agg(F.count("*").alias("c"), F.sum(first).alias("l")).where("c > 1").select("t", (F.col("l") > crowded).alias("full"))
+    found = written(rows.join(held, "t"), folder, name)
+    return found.where("NOT full").drop("full"), found.where("full").drop("full")
+
+
+def similar(fps: DataFrame, folder: str, least: float, crowded: int = CROWDED) -> DataFrame:
     """Links (a, b) of nodes of fps (node, s: a sorted set of shingles), each of a similarity of `least` or more, with the
     same components as all such pairs.
 
     Whatever one order all shingles are put in, two sets that are so alike share one among the first of each (a fifth, at
     0.8), so looking these up meets every pair, at every number of texts; those met are compared by their whole sets. The
     first order is that of hashes. A shingle that more than `crowded` sets would be looked up by is left out there, and
-    the sets that have it are looked up once more in the order of frequency. What still is crowded then is mostly
-    large groups of near copies: all are compared with one of them first, and then only with those that this, and all
-    other links, left in other components.
+    the sets that have it are looked up once more in the order of frequency. All sets that share a shingle are compared
+    with one of them first, and then only with those that this, and all other links, left in other components.
     """
     n = F.size("s")
     table = fps.select("node", n.alias("n"), F.posexplode(F.slice("s", 1, prefix(n, least)))).selectExpr("col AS t", "node", "n", "pos AS i")
-    full = lambda rows, name: written(shorter(rows, least).groupBy("t").agg(F.count("*").alias("c")).where(F.col("c") > crowded).select("t"), folder, name)
-    crowds = full(table, "crowded")
-    plain = table.join(crowds, "t", "left_anti")
-    again = fps.join(table.join(crowds, "t", "left_semi").select("node").distinct(), "node", "left_semi")
-    second = written(ranked(again, least), folder, "ranked")
-    crowds = full(second, "crowded-again")
-    rest = second.join(crowds, "t", "left_anti")
-    dense = second.join(crowds, "t", "left_semi")
-    centres = shorter(dense, least).groupBy("t").agg(F.min(F.struct(F.xxhash64("node"), "node", "n", "i")).alias("c")).select("t", "c.node", "c.n", "c.i")
-    found = met(shorter(plain, least), plain, least).unionByName(met(shorter(rest, least), rest, least)).unionByName(met(centres, dense, least, longer=False))
-    links = written(verified(found, fps, least), folder, "near")
-    roots = connected(links, f"{folder}/near-roots")
-    named = dense.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    several = named.groupBy("t").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("t")
-    named = written(named.join(several, "t", "left_semi"), folder, "several")
-    return links.unionByName(verified(met(shorter(named, least), named, least, more="root1 <> root2"), fps, least))
+    plain, crowds = cells(table, folder, "cells", least, crowded)
+    again = fps.join(crowds.select("node").distinct(), "node", "left_semi")
+    tables = plain, written(ranked(again, least), folder, "ranked")
+    centres = lambda rows: shorter(rows, least).groupBy("t").agg(F.min(F.struct(F.xxhash64("node"), "node", "n", "i")).alias("c")).select("t", "c.node", "c.n", "c.i")
+    stars = [met(centres(rows), rows, least, longer=False) for rows in tables]
+    links = written(verified(stars[0].unionByName(stars[1]), fps, least), folder, "near")
+    roots = written(connected(links, f"{folder}/near-roots"), folder, "roots")
+    left = []
+    for rows in tables:
+        named = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        several = named.groupBy("t").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("t")
+        named = named.join(several, "t", "left_semi")
+        left.append(met(shorter(named, least), named, least, more="root1 <> root2"))
+    return links.unionByName(verified(left[0].unionByName(left[1]), fps, least))
 
 
 def grouped_by_similarity(docs: DataFrame, size: int = 5, least: float = 0.8, folder: str | None = None) -> DataFrame:

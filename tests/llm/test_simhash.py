@@ -169,3 +169,30 @@ def test_pairs_at_the_threshold_are_met_however_many_texts_there_are(spark):
     got = {r.doc_id: r.component_id for r in S.grouped_by_similarity(own.unionByName(others)).where("doc_id < 1000").collect()}
     assert got == {k: k - k % 2 for k in range(800)}
     assert all(0.8 <= len(x & y) / len(x | y) < 0.9 for x, y in ((shingles(texts[k]), shingles(texts[k + 1])) for k in range(0, 800, 2)))
+
+
+@pytest.mark.parametrize("own", [40, 75])
+def test_pairs_inside_a_crowd_are_met(spark, own):
+    """Texts of one long template; their pairs of 0.85 to 0.9 are linked, others (0.6 to 0.76) are not."""
+    rng = random.Random(12)
+    template, texts = [f"t{j}" for j in range(300 - own)], []
+    for k in range(300):
+        base = template + [f"w{rng.randrange(10**6)}" for _ in range(own)]
+        texts += [" ".join(base), " ".join(base[: 300 - rng.randint(16, 24)] + [f"x{rng.randrange(10**6)}" for _ in range(20)])]
+    want = linked(texts)
+    assert components(spark, texts) == want and len(set(want.values())) == 300
+
+
+@pytest.mark.parametrize("crowded", [1, 16])
+def test_links_between_others_than_the_first_are_found(spark, crowded, monkeypatch):
+    """Chains of texts: each is like the next ones, none like the far ones, and all share crowded shingles."""
+    rng = random.Random(13)
+    texts = []
+    for c in range(3):
+        words = [f"c{c}-{rng.randrange(10**6)}" for _ in range(1200)]
+        texts += [" ".join(words[k : k + 200]) for k in range(0, 1000, 6)]
+    rng.shuffle(texts)
+    similar = S.similar
+    monkeypatch.setattr(S, "similar", lambda fps, folder, least: similar(fps, folder, least, crowded))
+    want = linked(texts)
+    assert components(spark, texts) == want and len(set(want.values())) == 3
