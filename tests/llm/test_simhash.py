@@ -196,3 +196,17 @@ def test_links_between_others_than_the_first_are_found(spark, crowded, monkeypat
     monkeypatch.setattr(S, "similar", lambda fps, folder, least: similar(fps, folder, least, crowded))
     want = linked(texts)
     assert components(spark, texts) == want and len(set(want.values())) == 3
+
+
+@pytest.mark.parametrize(("phrase", "times"), [(["-"], 64), ([f"p{j}" for j in range(5)], 30), ([f"p{j}" for j in range(5)], 25)])
+def test_a_repeated_phrase_links_no_unlike_texts(spark, phrase, times):
+    rng = random.Random(14)
+    texts = [" ".join([f"w{rng.randrange(10**6)}" for _ in range(454)] + phrase * times) for _ in range(6)]
+    assert components(spark, texts) == {k: k for k in range(6)}
+
+
+def test_estimates_count_a_shingle_once(spark):
+    rng = random.Random(15)
+    (a, n), (b, m) = (S.long_fingerprint(" ".join([f"w{rng.randrange(10**6)}" for _ in range(454)] + ["-"] * 64)) for _ in range(2))
+    df = spark.createDataFrame([(a, n, b, m)], "a array<long>, n long, b array<long>, m long")
+    assert df.select(S.estimated(F.col("a"), F.col("n"), F.col("b"), F.col("m")).alias("e")).first().e < 0.1
