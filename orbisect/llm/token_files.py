@@ -11,7 +11,9 @@ File: header, blocks, then doc ids (int64), their null flags (uint8), ids per do
 
 from __future__ import annotations
 
+import json
 import struct
+import sys
 import zlib
 from collections.abc import Iterable, Iterator
 from functools import cache
@@ -20,9 +22,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .common import filesystem, workspace, written
 
@@ -210,12 +211,21 @@ def read_file(uri: str) -> Iterator[tuple[int | None, np.ndarray, bool]]:
                     left = int(lengths[doc]) if doc < n_docs else 0
 
 
+#: How a vocabulary must cut texts for its words to be encoded each alone (fixed values of such a vocabulary).
+BY_WORDS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "split": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+",
+}
+
+
 class WordMemo:
     """Encodes texts with a lower-casing vocabulary that drops white space, each distinct word once.
 
-    Such a tokenizer joins no characters across white space, nor a letter with the full stop or comma that ends a
-    word, so a text's ids are those of these pieces in a row. A-Z are lowered first, but in texts with combining marks,
-    where composing comes before. Of two generations of the memo, the older is dropped when the newer has `most` pieces.
+    Where a vocabulary cuts texts as BY_WORDS says, it joins no characters across white space, nor a letter with the full
+    stop or comma that ends a word, so a text's ids are those of these pieces in a row. Letters that don't end in a letter
+    when they are composed and lowered (such as a capital I with a dot) are never cut from what follows. A-Z are lowered
+    first, but in texts with combining marks, where composing comes before. Of two generations of the memo, the older is
+    dropped when the newer has `most` pieces. With any other vocabulary whole texts go to the library.
     """
 
     def __init__(self, path: str, most: int = 600_000):
@@ -225,13 +235,28 @@ class WordMemo:
         ends = [i for w, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if w.endswith("</w>")]
         self.is_end = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.is_end[ends] = True
+        said = json.loads(self.tokenizer.to_str())
+        first = ((said["pre_tokenizer"] or {}).get("pretokenizers") or [{}])[0]
+        cut = first.get("type"), first.get("pattern"), first.get("behavior"), first.get("invert")
+        plain = all(not (t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"]) and not any(c.isspace() for c in t["content"]) for t in said["added_tokens"])
+        self.by_words = said["normalizer"] == BY_WORDS["normalizer"] and cut == ("Split", {"Regex": BY_WORDS["split"]}, "Removed", True) and plain
+        self.stop = rf"([^\P{{L}}{self.unstable()}])([.,])( |$)" if self.by_words else ""
+
+    def unstable(self) -> str:
+        """The letters that don't stay or become letters alone, as a part of a character class."""
+        letters = [c for c in map(chr, range(sys.maxunicode + 1)) if c.isalpha()]
+        made = self.tokenizer.normalizer.normalize_str(" ".join(letters)).split(" ")
+        return "".join(rf"\x{{{ord(c):X}}}" for c, m in zip(letters, made, strict=True) if not m.isalpha())
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and how many each text has."""
+        if not self.by_words:
+            found = [e.ids for e in self.encode(texts)]
+            return np.array([i for ids in found for i in ids], np.uint32), np.array([len(ids) for ids in found], np.int64)
         whole = pa.array(texts, pa.large_string())
         marks = pc.match_substring_regex(whole, "[\u0300-\u036f]")
         lowered = pc.replace_substring(pc.if_else(marks, whole, pc.ascii_lower(whole)), "\n", " ")
-        split = pc.split_pattern(pc.replace_substring_regex(lowered, r"(\p{L})([.,])( |$)", r"\1 \2\3"), " ")
+        split = pc.split_pattern(pc.replace_substring_regex(lowered, self.stop, r"\1 \2\3"), " ")
         codes = split.flatten().dictionary_encode()
         pieces, index = codes.dictionary.to_pylist(), codes.indices.to_numpy()
         parts = self.look_up(pieces)
@@ -355,15 +380,9 @@ def as_batch(rows: list[tuple]) -> pa.RecordBatch:
 
 def token_files(docs: DataFrame, vocabulary: str, folder: str | None = None) -> DataFrame:
     """Write documents as token files and read them back: doc_id, start, n_tokens, ids_crc32 from the files."""
-    spark: SparkSession = docs.sparkSession
-    folder = folder or workspace(spark, "tokens")
+    folder = folder or workspace(docs.sparkSession, "tokens")
     files = written(write_token_files(docs, vocabulary, f"{folder}/files"), folder, "manifest")
-    # One short row for each file; where it begins is the sum of those before it.
-    listed, base = [], 0
-    for r in sorted(files.collect(), key=lambda r: r["shard"]):
-        listed.append((r["path"], base))
-        base += r["n_ids"]
-    schema = T.StructType([T.StructField("path", T.StringType()), T.StructField("base", T.LongType())])
-    if not listed:
-        return spark.createDataFrame([], DOCS)
-    return read_token_files(spark.createDataFrame(listed, schema).repartition(len(listed)))
+    # Where a file begins is the sum of those before it: one short row for each task that wrote one.
+    before = F.coalesce(F.sum("n_ids").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    listed = written(files.select("path", before.alias("base")), folder, "starts")
+    return read_token_files(listed.repartition(max(1, files.count())))

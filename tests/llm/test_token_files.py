@@ -1,9 +1,11 @@
+import sys
+import unicodedata
 import zlib
 
 import numpy as np
 import public_tokenizers
 import pytest
-from hypothesis import given, settings
+from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
@@ -37,6 +39,39 @@ def test_memo_gives_the_librarys_ids(rows):
         assert ids.tolist() == [i for e in whole for i in e.ids]
 
 
+LETTERS = [c for c in map(chr, range(sys.maxunicode + 1)) if c.isalpha()]
+#: Letters that composing or lowering changes in length, marks, stops, added tokens and spaces.
+ODD = [c for c in LETTERS if len(unicodedata.normalize("NFC", c).lower()) > 1] + ["\u0307", "\u0301", "\u093c", "\u05bc", ".", ",", "'s", "<|endoftext|>", "\t", "\u2028", "\u3000", "1", "K", "\u212a", "ß", "Σ"]
+
+
+@pytest.fixture(scope="module")
+def both():
+    return T.WordMemo(VOCABULARY, most=2000), Tokenizer.from_file(VOCABULARY)
+
+
+def same(both, texts):
+    ids, sizes = both[0](texts)
+    whole = [e.ids for e in both[1].encode_batch(texts, add_special_tokens=False)]
+    return [a.tolist() for a in np.split(ids, np.cumsum(sizes)[:-1])] == whole
+
+
+def test_every_letter_before_a_stop(both):
+    texts = [f"b{c}. {c}, {c}.x {c}" for c in LETTERS]
+    assert same(both, texts)
+
+
+@settings(deadline=None, max_examples=400, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.one_of(st.sampled_from(ODD + list("aBİ. ,\n")), st.characters(codec="utf-8")), max_size=30))
+def test_odd_texts_give_the_librarys_ids(both, parts):
+    assert same(both, ["".join(parts), "B" + "".join(parts) + "."])
+
+
+def test_other_vocabularies_go_to_the_library(rows):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    memo, texts = T.WordMemo(path), [t or "" for _, t, *_ in rows]
+    assert not memo.by_words and same((memo, Tokenizer.from_file(path)), texts)
+
+
 def expected(rows):
     t = Tokenizer.from_file(VOCABULARY)
     out, at = [], 0
