@@ -18,9 +18,14 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 PLAIN = r"^[\x00-\x7F\u00A0-\u00BF\u00DF-\u00FF\u2010-\u2027]*\z"
 
 
+#: Schemes by which Hadoop calls stores that Arrow knows by another.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "gcs": "gs"}
+
+
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     """The store and the path in it that a URI of the shared folder names; works on executors too."""
-    return pafs.FileSystem.from_uri(uri)
+    scheme, _, rest = uri.partition("://")
+    return pafs.FileSystem.from_uri(f"{SCHEMES.get(scheme, scheme)}://{rest}")
 
 
 def ascii_lower(text: Column) -> Column:

@@ -32,101 +32,121 @@ OUTSIDE_WORDS = frozenset(
 OUTSIDE_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search".split())
 PAGE = frozenset(("html", "body", "article", "main"))
 #: Start tags that end an open element: the open one ends unless a tag that holds it in lies between.
+P_ENDED, P_HELD = ("p",), ("table", "button", *sorted(CONTAINERS - {"body"}))
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)>""", re.S)
-LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)")
+#: A tag whose quotes don't close ends at the next > or <.
+LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/<>]*)([^<>]*)(?:>|(?=<)|\Z)")
+#: Characters within which a tag is looked for, and how many tags of a page are looked for beyond.
+NEAR, FAR = 4096, 64
 ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 
 
 class Page:
-    """A page's elements (parent, key, whether outside the main text) and its text chunks (element, text); a chunk of
-    None is the edge of a block."""
+    """A page's elements (parent, key, path number, nearest container, whether outside the main text) and its text chunks
+    (element, text); a chunk of None is the edge of a block. Reading takes time in proportion to the page, however deep
+    elements are nested: the places of open elements are kept by tag, and paths are numbered."""
 
     def __init__(self, source: str | None):
         self.parents, self.keys, self.tags, self.outside = [-1], [""], [""], [False]
+        self.paths, self.containers, self.links = [0], [0], [False]
+        self.numbers: dict[tuple[int, str], int] = {}
         self.chunks: list[tuple[int, str | None]] = []
-        self.links: list[bool] = [False]
+        #: Open elements, and the places in it of each tag and of those that aren't inline.
+        self.stack, self.places, self.blocks = [0], {}, [0]
         self._read(source or "")
 
     def _read(self, source: str) -> None:
-        stack, at, end = [0], 0, len(source)
-        while at < end:
-            m = TAG.search(source, at)
-            # A tag whose quotes don't close ends at the next >.
-            if m is None or m.start() > at and (n := source.find("<", at)) < m.start() and n >= 0:
-                loose = LOOSE.search(source, at, m.start() if m else end)
-                m = loose or m
+        at, seek, end, far = 0, 0, len(source), FAR
+        while (lt := source.find("<", seek)) >= 0:
+            m = TAG.match(source, lt, min(end, lt + NEAR))
+            if (m is None or m.end() == lt + NEAR) and lt + NEAR < end and (far or source.startswith(("<!", "<?"), lt)):
+                m, far = TAG.match(source, lt), far - 1
+            m = m or LOOSE.match(source, lt)
             if m is None:
-                self._text(stack, source[at:])
-                break
-            if m.start() > at:
-                self._text(stack, source[at : m.start()])
+                seek = lt + 1
+                continue
+            if lt > at:
+                self._text(source[at:lt])
             at = m.end()
             if m.lastindex:
                 closing, tag, rest = m[1], m[2].lower(), m[3]
                 if closing:
-                    self._close(stack, tag)
+                    self._close(tag)
                 else:
-                    self._open(stack, tag, rest)
+                    self._open(tag, rest)
                     if tag in RAW:
-                        stop = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(source, at)
+                        stop = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(source, at)
                         at = stop.start() if stop else end
-
-    def _text(self, stack: list[int], text: str) -> None:
-        if not self.outside[stack[-1]]:
-            self.chunks.append((stack[-1], html.unescape(text) if "&" in text else text))
-
-    def _edge(self, stack: list[int]) -> None:
-        self.chunks.append((stack[-1], None))
-
-    def _open(self, stack: list[int], tag: str, rest: str) -> None:
+            seek = at
+        if at < end:
+            self._text(source[at:])
+
+    def _text(self, text: str) -> None:
+        if not self.outside[self.stack[-1]]:
+            self.chunks.append((self.stack[-1], html.unescape(text) if "&" in text else text))
+
+    def _edge(self) -> None:
+        self.chunks.append((self.stack[-1], None))
+
+    def _last(self, tags: Iterable[str]) -> int:
+        """The highest place of an open element with one of these tags; 0 if none is open."""
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
+
+    def _cut(self, place: int) -> None:
+        """Close all open elements from a place on."""
+        for node in self.stack[place:]:
+            self.places[self.tags[node]].pop()
+        while self.blocks[-1] >= place:
+            self.blocks.pop()
+        del self.stack[place:]
+
+    def _open(self, tag: str, rest: str) -> None:
         if tag not in INLINE:
-            self._end_open(stack, {"p"}, {"table", "button", *CONTAINERS} - {"body"})
-            self._edge(stack)
+            self._end_open(P_ENDED, P_HELD)
+            self._edge()
         if tag in ENDS:
-            self._end_open(stack, *ENDS[tag])
+            self._end_open(*ENDS[tag])
         if tag in VOID:
             return
         names: dict[str, str] = {}
         if "=" in rest:
             for m in ATTRIBUTE.finditer(rest):
                 names.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
-        parent = stack[-1]
-        kinds = sorted({re.sub(r"\d+", "#", c) for c in names.get("class", "").lower().split()})
+        parent = self.stack[-1]
+        kinds = sorted({re.sub(r"\d+", "#", c) for c in names.get("class", "").lower().replace(">", "").split()})
         outside = self.outside[parent] or tag in OUTSIDE
         if not outside and names and tag not in PAGE:
             said = re.split(r"[^a-z]+", f"{names.get('class', '')} {names.get('id', '')}".lower())
             outside = not OUTSIDE_WORDS.isdisjoint(said) or names.get("role", "").lower() in OUTSIDE_ROLES
+        key, node = ".".join((tag, *kinds)), len(self.parents)
         self.parents.append(parent)
-        self.keys.append(".".join((tag, *kinds)))
+        self.keys.append(key)
         self.tags.append(tag)
+        self.paths.append(self.numbers.setdefault((self.paths[parent], key), len(self.numbers) + 1))
+        self.containers.append(node if tag in CONTAINERS else self.containers[parent])
         self.outside.append(outside)
         self.links.append(self.links[parent] or tag == "a")
-        stack.append(len(self.parents) - 1)
-
-    def _end_open(self, stack: list[int], ended: set[str], held: set[str]) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            tag = self.tags[stack[i]]
-            if tag in ended:
-                del stack[i:]
-                return
-            if tag in held:
-                return
-
-    def _close(self, stack: list[int], tag: str) -> None:
-        if tag in ("body", "html"):
+        self.places.setdefault(tag, []).append(len(self.stack))
+        if tag not in INLINE:
+            self.blocks.append(len(self.stack))
+        self.stack.append(node)
+
+    def _end_open(self, ended: Iterable[str], held: Iterable[str]) -> None:
+        place = self._last(ended)
+        if place and place > self._last(held):
+            self._cut(place)
+
+    def _close(self, tag: str) -> None:
+        place = self._last((tag,))
+        if tag in ("body", "html") or not place or tag in INLINE and self.blocks[-1] > place:
             return
-        for i in range(len(stack) - 1, 0, -1):
-            if self.tags[stack[i]] == tag:
-                if tag not in INLINE:
-                    self._edge(stack)
-                del stack[i:]
-                if tag not in INLINE:
-                    self._edge(stack)
-                return
-            if tag in INLINE and self.tags[stack[i]] not in INLINE:
-                return
+        if tag not in INLINE:
+            self._edge()
+        self._cut(place)
+        if tag not in INLINE:
+            self._edge()
 
     def path(self, node: int) -> str:
         keys = []
@@ -135,6 +155,13 @@ class Page:
             node = self.parents[node]
         return ">".join(reversed(keys))
 
+    def number(self, path: str) -> int:
+        """The number of a path; -1 if the page has none such."""
+        at = 0
+        for key in path.split(">"):
+            at = self.numbers.get((at, key), -1)
+        return at
+
     def best(self) -> tuple[int, float]:
         """The container with the highest score (0, the page, where there is no text). Text counts in full for the nearest
         container and less and less for those around it; links count against. Of nested ones that are articles or mains,
@@ -144,12 +171,11 @@ class Page:
             n = len(text.strip()) if text else 0
             if not n:
                 continue
-            gain, up = -0.5 * n if self.links[node] else float(n), node
+            gain, up = -0.5 * n if self.links[node] else float(n), self.containers[node]
             while up > 0 and gain:
-                if self.tags[up] in CONTAINERS:
-                    scores[up] = scores.get(up, 0.0) + gain
-                    gain = gain * 0.4 if abs(gain) > 1e-3 else 0
-                up = self.parents[up]
+                scores[up] = scores.get(up, 0.0) + gain
+                gain = gain * 0.4 if abs(gain) > 1e-3 else 0
+                up = self.containers[self.parents[up]]
         if not scores:
             return 0, 0.0
         node = max(scores, key=lambda k: (scores[k], -k))
@@ -163,13 +189,12 @@ class Page:
     def text(self, paths: list[str]) -> str:
         """The text of all elements on the first path that the page has, or of its best container."""
         roots: set[int] = set()
-        by_path: dict[str, list[int]] = {}
         if paths:
-            leaves = {p.rpartition(">")[2] for p in paths}
+            by_path: dict[int, list[int]] = {}
             for node in range(1, len(self.keys)):
-                if self.keys[node] in leaves and not self.outside[node]:
-                    by_path.setdefault(self.path(node), []).append(node)
-            roots = set(next((by_path[p] for p in paths if p in by_path), ()))
+                if not self.outside[node]:
+                    by_path.setdefault(self.paths[node], []).append(node)
+            roots = set(next((by_path[n] for n in map(self.number, paths) if n in by_path), ()))
         if not roots:
             roots = {self.best()[0]}
         inside = [False] * len(self.parents)

@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from .common import workspace, written
 
 GIANT, CHUNK = 65_536, 16_384
+#: Chunks of giant documents that a task scans.
+TASK_CHUNKS = 8
 #: Pairs of pieces and words that a process keeps.
 MEMO, WORDS = 300_000, 250_000
 #: Fixed values of SentencePiece: piece types, model types, and what an unknown character costs a unigram path.
@@ -245,7 +247,8 @@ def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def states(matrices: list[np.ndarray]) -> list[int]:
-    """The state of the best path at each edge, from the first chunk's entry to the last one's exit."""
+    """The state of the best path at each edge, from the first chunk's entry to the last one's exit. There is one entry, so
+    what is combined is a row of scores, not whole products of matrices."""
     upto = [np.zeros((1, 1))]
     for t in matrices:
         upto.append(product(upto[-1], t))
@@ -315,14 +318,15 @@ def giant_encoded(docs: DataFrame, path: str, folder: str, chunk: int = CHUNK) -
                 yield pa.RecordBatch.from_arrays([pa.array([r["row"]]), pa.array([r["k"]], pa.int32()), pa.array([ids], pa.list_(pa.int32()))], ["row", "k", "ids"])
 
     parts = docs.select("row", "text").mapInArrow(slices, "row long, k int, n int, text string, lo int, hi int")
-    parts = written(parts.repartition("row", "k"), folder, "chunks")
-    spread = lambda df: df.repartition("row", "k")  # noqa: E731  chunks of one document go to many tasks
-    found = spread(parts).mapInArrow(matrices, "row long, k int, wide int, t binary")
-    edges = found.groupBy("row").applyInArrow(combined, "row long, k int, entry int, leaves int")
-    return parts.join(edges, ["row", "k"]).mapInArrow(trace, ENCODED)
+    parts = written(parts, folder, "chunks")
+    # Chunks of one document go to many tasks: a given number of them, as the bytes are too few for Spark to choose so many.
+    tasks = max(1, parts.count() // TASK_CHUNKS)
+    found = written(parts.repartition(tasks, "row", "k").mapInArrow(matrices, "row long, k int, wide int, t binary"), folder, "matrices")
+    edges = written(found.groupBy("row").applyInArrow(combined, "row long, k int, entry int, leaves int"), folder, "edges")
+    return parts.join(edges, ["row", "k"]).repartition(tasks, "row", "k").mapInArrow(trace, ENCODED)
 
 
-def encoded(docs: DataFrame, path: str, folder: str | None = None, giant: int = GIANT, chunk: int = CHUNK) -> DataFrame:
+def encoded(docs: DataFrame, path: str, folder: str | None = None, giant: int | None = None, chunk: int = CHUNK) -> DataFrame:
     """docs with `ids`, the SentencePiece ids of each text (null and empty texts have none); its text column goes.
 
     Every row is encoded by itself, so repeated rows come out as often; a column of docs named ids is replaced.
@@ -330,7 +334,7 @@ def encoded(docs: DataFrame, path: str, folder: str | None = None, giant: int =
     folder = folder or workspace(docs.sparkSession, "pieces")
     rest = [c for c in docs.columns if c not in ("text", "ids")]
     rows = docs.select(F.monotonically_increasing_id().alias("__row"), *(F.col(f"`{c}`") for c in rest), F.coalesce("text", F.lit("")).alias("__text"))
-    long = F.length("__text") > giant
+    long = F.length("__text") > (GIANT if giant is None else giant)
     named = rows.select(F.col("__row").alias("row"), F.col("__text").alias("text"), F.struct(*(F.col(f"`{c}`") for c in rest)).alias("rest"), long.alias("long"))
     return _joined(named, path, folder, chunk).select(*(F.col(f"rest.`{c}`").alias(c) for c in rest), "ids")
 

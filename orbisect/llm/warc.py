@@ -104,9 +104,10 @@ def write_archives(plan: DataFrame, folder: str, level: int = 6) -> DataFrame:
 
     def write(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, out, at = TaskContext.get(), None, 0
-        uri = f"{folder}/archive-{task.stageId()}-{task.partitionId():08d}.warc.gz"
+        # The attempt is in the name that the index carries, so no later attempt replaces a file that is in use.
+        uri = f"{folder}/archive-{task.stageId()}-{task.partitionId():08d}-{task.taskAttemptId()}.warc.gz"
         fs, path = filesystem(uri)
-        temp = f"{path}.{task.taskAttemptId()}"
+        temp = f"{path}.part"
         for part in parts:
             rows = []
             for r in part.to_pylist():

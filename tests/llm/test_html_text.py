@@ -1,6 +1,8 @@
 import html
 import re
+import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from orbisect.llm import html_text as H
@@ -47,3 +49,28 @@ def test_odd_tables(spark):
     df = spark.createDataFrame(rows, PAGES).select("*", *(F.lit(1).alias(n) for n in ("host", "paths", "text", "n", "path")))
     got = sorted(str((r.page_id, r.n_chars)) for r in H.extracted(df).collect())
     assert got == sorted(map(str, [(1, 1), (1, 1), (None, 0), (2, 0), (3, 100_004)]))
+
+
+@pytest.mark.parametrize("part", ["<ul>", "<span>x", "<a ", "<a 'x ", '<p class="y ', "<div><i>x</div>", "</b>", "<li>x", "<", "<!", "<b x='>'>", "<table><tr><td>x", "&amp;<p>"])
+def test_odd_pages_take_time_in_proportion(part):
+    """A megabyte of one thing is read in seconds, and its text is all there."""
+    source = part * (1_000_000 // len(part))
+    began = time.process_time()
+    page = H.Page(source)
+    text = page.text(["ul", page.path(len(page.keys) - 1)[:100_000]])
+    page.best()
+    assert time.process_time() - began < 20
+    if part in ("<span>x", "<li>x"):
+        assert text.count("x") == source.count("x")
+
+
+def test_long_tags_and_far_quotes():
+    long = "y" * 10_000
+    assert H.Page(f'<p title="{long} > z">in</p>').text([]) == "in"
+    assert H.Page(f'<p title="{long}>in <b>x</b>').text([]) == "in x"
+    assert H.Page('<p class="a>b">x<div class="c">y').text(["div.c"]) == "y"
+
+
+def test_closing_inline_tags_stay_inside_their_block():
+    page = H.Page("<i><p>a</i>b<p>c")
+    assert [page.tags[n] for n in page.stack] == ["", "i", "p"] and page.text([]) == "ab c"

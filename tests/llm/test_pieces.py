@@ -1,3 +1,6 @@
+import hashlib
+import zlib
+
 import numpy as np
 import public_tokenizers
 import pytest
@@ -60,4 +63,14 @@ def test_documents(spark, docs, rows, clashing, empty):
     assert sorted(str((r.doc_id, r.text)) for r in back) == sorted(str((i, t or "")) for i, t, *_ in rows)
     assert P.encoded(empty, PATH).collect() == [] and P.digested(empty, PATH).collect() == []
     assert P.encoded(clashing, PATH, giant=500, chunk=200).count() == len(rows)
-    assert P.digested(docs, PATH).count() == len(rows)
+
+
+@pytest.mark.parametrize("giant", [500, P.GIANT])
+def test_digests(spark, docs, rows, monkeypatch, giant):
+    """n_ids, ids_crc32 and decoded_sha256 are those of the library's ids, whichever way a text goes."""
+    monkeypatch.setattr(P, "GIANT", giant)
+    m, want = P.model(PATH).library, []
+    for i, t, *_ in rows:
+        ids = m.encode(t or "")
+        want.append(str((i, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()), hashlib.sha256(m.decode(ids).encode()).hexdigest())))
+    assert sorted(str(tuple(r)) for r in P.digested(docs, PATH).collect()) == sorted(want)
