@@ -28,13 +28,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where that is unset, as in tests, a temporary one that goes at exit."""
+    """The folder of spark.checkpoint.dir, in Spark's default store where it names none. Where it is unset, a local session,
+    as in tests, gets a temporary one that goes at exit, and a cluster an error: its machines share no such folder."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="orbisect-")
         atexit.register(shutil.rmtree, base.removeprefix("file://"), ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/") if "://" in base else "file://" + base.rstrip("/")
+    return qualified(spark, base).rstrip("/")
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """A path with the scheme of its store."""
+    if "://" in path:
+        return path
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    full = at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString()
+    return full if "://" in full else full.replace(":/", ":///", 1)
 
 
 def workspace(spark: SparkSession, name: str) -> str:
