@@ -129,6 +129,8 @@ WORDS = 48
 SPREAD, MIX1, MIX2 = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
 #: Each byte's bits as the bytes of a long, so that sums of up to 255 of them count each bit.
 BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view("<u8").reshape(-1)
+#: Documents about, and shingles at most, whose counts give the order of look-ups.
+SAMPLE, COMMON = 8192, 200_000
 #: Prefix shingles that more sets than this share are left to a second look-up.
 SHARED = 512
 #: Sets of up to so many shingles go along whole; where one of fewer than SMALL takes part, fingerprints are held against a
@@ -195,9 +197,36 @@ def needed(na: Column, nb: Column, least: float) -> Column:
 SIGNATURES = "doc_id long, th long, h1 long, h2 long, n int, fp array<long>, small array<long>, keys array<long>"
 
 
+def common_shingles(docs: DataFrame, size: int, sample: int = SAMPLE, most: int = COMMON) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, sorted, and counts of up to `most` shingles that several of about `sample` documents drawn by hash hold.
+
+    They only decide the order in which sets are looked up. Any order finds all pairs; one that puts common shingles last
+    meets few others."""
+    every = max(1, docs.count() // sample)
+    drawn = docs.select("text").where(F.pmod(F.xxhash64(F.coalesce("text", F.lit("")), F.lit("drawn")), F.lit(every)) == 0)
+
+    def run(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for t in part.column("text"):
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(t.as_py(), size), pa.int64())], ["t"])
+
+    counts = drawn.mapInArrow(run, "t long").groupBy("t").agg(F.count("*").alias("c")).where("c > 1")
+    found = sorted((r.t, r.c) for r in counts.orderBy(F.desc("c"), "t").limit(most).collect())
+    return np.array([t for t, _ in found], np.int64), np.array([c for _, c in found], np.int64)
+
+
+def in_order(s: np.ndarray, hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """A set's shingles by how common they are, ties by hash."""
+    if not len(hashes) or not len(s):
+        return s
+    at = np.minimum(np.searchsorted(hashes, s), len(hashes) - 1)
+    return s[np.lexsort((s, np.where(hashes[at] == s, counts[at], 0)))]
+
+
 def signatures(docs: DataFrame, size: int, least: float) -> DataFrame:
     """doc_id, th, h1 and h2 (a hash of the set of shingles), n shingles, fp (the long fingerprint), small (the set
-    itself where it is small) and keys, the prefix of the set in the order of hashes."""
+    itself where it is small) and keys, the prefix of the set in the order of common_shingles()."""
+    held = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, size))
 
     def run(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
@@ -205,7 +234,8 @@ def signatures(docs: DataFrame, size: int, least: float) -> DataFrame:
             for t in part.column("text"):
                 s = shingle_set(t.as_py(), size)
                 fp, n = sketched(s)
-                rows.append((*np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), "<i8").tolist(), n, fp, s[: WHOLE * (n <= WHOLE)], s[: n - math.ceil(n * least - 1e-9) + 1]))
+                keys = in_order(s, *held.value)[: n - math.ceil(n * least - 1e-9) + 1]
+                rows.append((*np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), "<i8").tolist(), n, fp, s[: WHOLE * (n <= WHOLE)], keys))
             kinds = pa.int64(), pa.int64(), pa.int32(), *[pa.list_(pa.int64())] * 3
             made = [pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], k) for k in kinds]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("th"), *made], ["doc_id", "th", "h1", "h2", "n", "fp", "small", "keys"])
@@ -307,9 +337,9 @@ def similar(found: Found, folder: str, least: float, crowded: int = SHARED) -> D
     """Links (a, b) of nodes, with the same components as all pairs of a similarity of `least` or more.
 
     Whatever one order all shingles are put in, two sets that are so alike share one among the first of each (a fifth, at
-    0.8), so looking these up meets every pair, at every number of texts. The first order is that of hashes. A shingle
-    that more than `crowded` sets share there is left out, and the sets that have it are looked up once more in the order
-    of frequency. All sets that share a shingle are compared with one of them first, and then only with those that the
+    0.8), so looking these up meets every pair, at every number of texts. The first order is by counts in a sample,
+    then by hash. A shingle that more than `crowded` sets share there is left out, and the sets that have it are looked up
+    once more in the order of all their counts. All sets that share a shingle are compared with one of them first, and then only with those that the
     sure links of these comparisons left in other components. The whole distance of the fingerprints decides, and the
     sets themselves where it lies near the bound.
     """
