@@ -20,8 +20,8 @@ def columns(prefix: str = "", names: str = "xyz") -> list[Column]:
 
 
 def lattice_columns(column: str = "lattice") -> list[list[Column]]:
-    """Rows of an array<array<double>> column."""
-    return [[F.col(column)[i][j] for j in range(3)] for i in range(3)]
+    """Rows of an array<array<double>> column; nulls where there is no lattice, as filters may be taken after."""
+    return [[F.get(F.get(F.col(column), F.lit(i)), F.lit(j)) for j in range(3)] for i in range(3)]
 
 
 def dot(a: Vector, b: Vector) -> Column:

@@ -6,6 +6,8 @@ it is settled there, in generated code. Only the pairs left carry whole structur
 
 from __future__ import annotations
 
+import math
+from collections import Counter
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -17,15 +19,26 @@ from . import dedup, local, pairs
 
 
 def described(structures: DataFrame, k: int = 12) -> DataFrame:
-    """struct_id, formula, descriptor."""
-    fn = lambda r: {"formula": "".join(sorted(r["elements"])), "descriptor": N.crystal_descriptor(*local.crystal(r), k)}
+    """struct_id, formula (that of the least unit, so that a cell and its supercell meet), descriptor."""
+    fn = lambda r: {"formula": least_unit(r["elements"]), "descriptor": N.crystal_descriptor(*local.crystal(r), k)}
     return local.applied(structures, fn, "formula string, descriptor array<double>")
 
 
+def least_unit(elements: list[str]) -> str:
+    counts = Counter(elements)
+    by = math.gcd(*counts.values())
+    return " ".join(f"{e}{n // by}" for e, n in sorted(counts.items()))
+
+
 def alike(structures: DataFrame, tol: float = 0.1, k: int = 12, folder: str | None = None) -> DataFrame:
-    """id1, id2, value: pairs of one formula whose descriptors differ by less than tol anywhere."""
+    """id1, id2, value: pairs of one formula whose descriptors differ by less than tol anywhere. Where structures say which of
+    them is_new, one of a pair is."""
+    some = ["is_new"] if "is_new" in structures.columns else []
     rows = written(described(structures, k), folder or workspace(structures.sparkSession, "descriptors"), "rows")
-    met = pairs.unordered(rows, "struct_id", ["formula"], ["descriptor"])
+    if some:
+        rows = rows.join(structures.select("struct_id", *some), "struct_id")
+    met = pairs.unordered(rows, "struct_id", ["formula"], ["descriptor", *some])
+    met = met.where("is_new1 OR is_new2") if some else met
     apart = F.array_max(F.zip_with("descriptor1", "descriptor2", lambda a, b: F.abs(a - b)))
     return met.withColumn("value", apart).where(F.col("value") < tol).select("id1", "id2", "value")
 

@@ -6,9 +6,12 @@ equi-join whatever the distance, so nothing is compared with everything. Exact d
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from itertools import product
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,6 +44,112 @@ def all_pairs(rows: DataFrame, key: str, keep: Sequence[str], blocks: int = 16)
     return both.where("(__own1 = __lo AND __own2 = __hi) OR (__own1 = __hi AND __own2 = __lo)").drop("__lo", "__hi", "__own1", "__own2")
 
 
+#: Vectors of a block, and blocks' centres at most, which are drawn by hash.
+BLOCK, CENTRES = 1024, 32
+
+
+def near_vectors(rows: DataFrame, key: str, vector: str, radius: float | None = None, k: int | None = None, keep: Sequence[str] = ()) -> DataFrame:
+    """Pairs of vectors (arrays of one length, no nulls): with `radius`, each pair nearer than that once, id1 < id2; with `k`,
+    each id1's k nearest id2, ties by id2. Columns id1, id2, value (the Euclidean distance) and `keep` of both sides.
+
+    Vectors are dealt to the nearest of up to CENTRES of them and there, by hash, in blocks of about BLOCK, as many as the
+    table needs. Two blocks whose centres are farther apart than the radius and both cells' widths hold no such pair, by
+    the triangle inequality, and don't meet; all others do, so the result is exact. Distances are computed a pair of
+    blocks at a time, and only what is near leaves it. With k, what meets is every pair of blocks: n(n-1)/2 distances,
+    of which k a vector and pair of blocks are kept.
+    """
+    if (radius is None) == (k is None):
+        raise ValueError("either a radius or k is asked for")
+    plain = rows.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v"), F.struct(*keep).alias("keep") if keep else F.lit(None).cast("int").alias("keep"))
+    drawn = np.array([r.v for r in plain.orderBy(F.xxhash64("id"), "id").select("v").limit(CENTRES).collect()])
+    if not len(drawn):
+        drawn = np.zeros((1, 1))
+    kept = plain.schema["keep"].dataType.simpleString()
+    dealt = f"id {plain.schema['id'].dataType.simpleString()}, v array<double>, keep {kept}, cell int, far double"
+
+    def deal(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            v = matrix(part.column("v"))
+            d = np.stack([distances(v, c[None])[:, 0] for c in drawn], axis=1) if len(v) else np.zeros((0, 1))
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("id", "v", "keep")), pa.array(d.argmin(axis=1) if len(v) else [], pa.int32()), pa.array(d.min(axis=1) if len(v) else [], pa.float64())], ["id", "v", "keep", "cell", "far"])
+
+    cells = plain.mapInArrow(deal, dealt)
+    sizes = {r.cell: (max(1, -(-r.n // BLOCK)), r.far) for r in cells.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("far")).collect()}
+    apart = distances(drawn, drawn)
+    meets = lambda a, b: radius is None or apart[a, b] <= sizes[a][1] + sizes[b][1] + radius * (1 + 1e-9)
+    partners = {a: [(b, s) for b in sizes for s in range(sizes[b][0]) if meets(a, b)] for a in sizes}
+    of = lambda a: F.array(*(F.struct(F.lit(b).alias("b"), F.lit(sizes[b][0]).alias("m")) for b in sorted({b for b, _ in partners[a]})))
+    listed = F.lit(None)
+    for a in sizes:
+        listed = F.when(F.col("cell") == a, of(a)).otherwise(listed)
+    blocks = F.lit(1)
+    for a, (m, _) in sizes.items():
+        blocks = F.when(F.col("cell") == a, m).otherwise(blocks)
+    own = cells.withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int"))
+    sent = own.withColumn("p", F.explode(listed)).withColumn("s", F.explode(F.sequence(F.lit(0), F.col("p.m") - 1))) if sizes else own.withColumn("p", F.struct(F.lit(0).alias("b"))).withColumn("s", F.lit(0))
+    here, there = F.struct(F.col("cell").alias("c"), F.col("block").alias("s")), F.struct(F.col("p.b").alias("c"), F.col("s").alias("s"))
+    sent = sent.select("id", "v", "keep", F.least(here, there).alias("lo"), F.greatest(here, there).alias("hi"), (here <= there).alias("first"), (here == there).alias("same"))
+    found = f"id1 {plain.schema['id'].dataType.simpleString()}, id2 {plain.schema['id'].dataType.simpleString()}, value double, keep1 {kept}, keep2 {kept}"
+
+    def near(table: pa.Table) -> pa.Table:
+        same = table.column("same")[0].as_py()
+        left = table if same else table.filter(table.column("first"))
+        right = table if same else table.filter(pc.invert(table.column("first")))
+        i, j, d = nearby(left, right, same, radius, k)
+        both = [(left, right, i, j)] if k is None or same else [(left, right, i[0], j[0]), (right, left, i[1], j[1])]
+        values = [d] if k is None or same else d
+        made = [pa.table({"id1": a.column("id").take(x), "id2": b.column("id").take(y), "value": pa.array(w), "keep1": a.column("keep").take(x), "keep2": b.column("keep").take(y)}) for (a, b, x, y), w in zip(both, values, strict=True)]
+        return pa.concat_tables(made)
+
+    near.__annotations__ = {"table": pa.Table, "return": pa.Table}
+    out = sent.groupBy("lo", "hi").applyInArrow(near, found)
+    if k is not None:
+        out = nearest(out, k).drop("rank")
+    else:
+        out = out.select(F.least("id1", "id2").alias("id1"), F.greatest("id1", "id2").alias("id2"), "value", *(F.when(F.col("id1") < F.col("id2"), F.col(f"keep{n}")).otherwise(F.col(f"keep{m}")).alias(f"keep{n}") for n, m in ((1, 2), (2, 1))))
+    return out.select("id1", "id2", "value", *(F.col(f"keep{n}.{c}").alias(f"{c}{n}") for c in keep for n in (1, 2)))
+
+
+def matrix(vectors: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    whole = vectors.combine_chunks() if isinstance(vectors, pa.ChunkedArray) else vectors
+    flat = whole.flatten().to_numpy()
+    return flat.reshape(len(whole), -1) if len(whole) else np.zeros((0, 1))
+
+
+def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Euclidean distances of all rows, by differences, a few rows of a at a time."""
+    step = max(1, 4_000_000 // max(1, b.size))
+    return np.concatenate([np.sqrt(((a[i : i + step, None] - b[None]) ** 2).sum(axis=2)) for i in range(0, len(a), step)]) if len(a) else np.zeros((0, len(b)))
+
+
+def nearby(left: pa.Table, right: pa.Table, same: bool, radius: float | None, k: int | None) -> tuple:
+    """Row numbers of left and right and distances of what is near; with k, for two different blocks, from either side."""
+    d = distances(matrix(left.column("v")), matrix(right.column("v")))
+    if k is None:
+        i, j = np.nonzero(d < radius)
+        if same:
+            i, j = i[i < j], j[i < j]
+        return i, j, d[i, j]
+    if same:
+        np.fill_diagonal(d, np.inf)
+
+    def least(d: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not d.size:
+            return np.zeros(0, int), np.zeros(0, int)
+        order = np.argsort(ids, kind="stable")
+        best = order[np.argsort(d[:, order], axis=1, kind="stable")[:, :k]]
+        i = np.repeat(np.arange(len(d)), best.shape[1])
+        fine = np.isfinite(d[i, best.ravel()])
+        return i[fine], best.ravel()[fine]
+
+    ids = [np.array(t.column("id").to_pylist()) for t in (left, right)]
+    i, j = least(d, ids[1])
+    if same:
+        return i, j, d[i, j]
+    y, x = least(d.T, ids[0])
+    return (i, y), (j, x), [d[i, j], d[x, y]]
+
+
 def both_sides(pairs: DataFrame) -> DataFrame:
     """Each pair from either side, as symmetric results are looked up."""
     swapped = pairs.withColumns({"id1": F.col("id2"), "id2": F.col("id1")})
@@ -63,15 +172,25 @@ def within(points: DataFrame, cutoff: float | Column, largest: float, group: Seq
     """
     cell = [F.floor(F.col(c) / largest).cast("long").alias(f"c{c}") for c in "xyz"]
     base = points.select(*group, "atom_idx", "x", "y", "z", *keep, *cell)
-    steps = F.array(*(F.struct(*(F.lit(v).alias(f"s{n}") for n, v in zip("xyz", s, strict=True))) for s in product((-1, 0, 1), repeat=3)))
-    a = base.select(*group, F.col("atom_idx").alias("i"), *(F.col(c).alias(f"{c}1") for c in ("x", "y", "z", *keep)), "cx", "cy", "cz", F.explode(steps).alias("s"))
-    a = a.withColumns({f"c{c}": F.col(f"c{c}") + F.col(f"s.s{c}") for c in "xyz"}).drop("s")
-    b = base.select(*group, F.col("atom_idx").alias("j"), *(F.col(c).alias(f"{c}2") for c in ("x", "y", "z", *keep)), "cx", "cy", "cz")
-    d = G.distance([F.col(f"{c}1") for c in "xyz"], [F.col(f"{c}2") for c in "xyz"])
+    # Each two neighbouring cells meet once: a cell goes to itself and to the 13 of its neighbours that follow it.
+    after = [s for s in product((-1, 0, 1), repeat=3) if s >= (0, 0, 0)]
+    steps = F.array(*(F.struct(*(F.lit(v).alias(f"s{n}") for n, v in zip("xyz", s, strict=True))) for s in after))
+    side = lambda n: [F.col("atom_idx").alias(f"a{n}"), *(F.col(c).alias(f"{c}_{n}") for c in ("x", "y", "z", *keep)), "cx", "cy", "cz"]
+    a = base.select(*group, *side(1), F.explode(steps).alias("s"))
+    a = a.withColumn("own", F.expr("s.sx = 0 AND s.sy = 0 AND s.sz = 0")).withColumns({f"c{c}": F.col(f"c{c}") + F.col(f"s.s{c}") for c in "xyz"}).drop("s")
+    d = G.distance([F.col(f"{c}_1") for c in "xyz"], [F.col(f"{c}_2") for c in "xyz"])
+    met = a.join(base.select(*group, *side(2)), [*group, "cx", "cy", "cz"]).where("NOT own AND a1 <> a2 OR a1 < a2").withColumn("d", d).where(F.col("d") <= largest)
+    ends = lambda n, m: met.select(*group, F.col(f"a{n}").alias("i"), F.col(f"a{m}").alias("j"), "d", *(F.col(f"{c}_{k}").alias(f"{c}{e}") for c in keep for e, k in ((1, n), (2, m))))
+    turned = F.col("a1") < F.col("a2")
+    if ordered:
+        out = ends(1, 2).unionByName(ends(2, 1))
+    else:
+        pick = lambda c, n, m: F.when(turned, F.col(f"{c}{n}")).otherwise(F.col(f"{c}{m}"))
+        columns = [pick(f"{c}_", n, m).alias(f"{c}{n}") for c in keep for n, m in ((1, 2), (2, 1))]
+        out = met.select(*group, F.least("a1", "a2").alias("i"), F.greatest("a1", "a2").alias("j"), "d", *columns)
     bound = cutoff if isinstance(cutoff, Column) else F.lit(cutoff)
     near = F.col("d") < bound if strict else F.col("d") <= bound
-    met = a.join(b, [*group, "cx", "cy", "cz"]).where("i <> j" if ordered else "i < j").withColumn("d", d).where(near)
-    return met.select(*group, "i", "j", "d", *(f"{c}{n}" for c in keep for n in (1, 2)))
+    return out.where(near).select(*group, "i", "j", "d", *(f"{c}{n}" for c in keep for n in (1, 2)))
 
 
 def bonds(atoms: DataFrame, mult: float = 1.2, skin: float = 0.0) -> DataFrame:

@@ -30,10 +30,14 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
+    from . import nations  # noqa: F401  adds its own
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from . import nations  # noqa: F401
+
     return dict(SQL)
 
 
@@ -223,14 +227,15 @@ def vector_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {SQL_NEAR} SELECT id1, id2, round(d, 6) AS value FROM near WHERE d < 1.2")
 def neighbours_within(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vector_pairs(spark, sf_dir).where("d < 1.2").select("id1", "id2", F.round("d", 6).alias("value"))
+    near = pairs.near_vectors(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", radius=1.2)
+    return near.select("id1", "id2", F.round("value", 6).alias("value"))
 
 
 @query(f"""WITH {SQL_NEAR}, both_ways AS (SELECT id1, id2, d FROM near UNION ALL SELECT id2, id1, d FROM near)
 SELECT id1, id2, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY id1 ORDER BY d, id2) AS rank FROM both_ways) WHERE rank <= 5""")
 def knn_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    both = pairs.both_sides(vector_pairs(spark, sf_dir).select("id1", "id2", F.col("d").alias("value")))
-    return pairs.nearest(both, 5).select("id1", "id2", "rank")
+    near = pairs.near_vectors(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", k=5)
+    return pairs.nearest(near, 5).select("id1", "id2", "rank")
 
 
 @query(f"""WITH {SQL_NEAR} SELECT least(label1, label2) AS label1, greatest(label1, label2) AS label2, round(min(d), 6) AS d,
@@ -278,7 +283,8 @@ def rank_matched(spark: SparkSession, sf_dir: str) -> DataFrame:
 reach(vec_id, other) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT reach.vec_id, edges.id2 FROM reach JOIN edges ON reach.other = edges.id1)
 SELECT vec_id, min(other) AS component FROM reach GROUP BY vec_id""")
 def embedding_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    links = vector_pairs(spark, sf_dir).where("d < 1.16").select(F.col("id1").alias("a"), F.col("id2").alias("b"))
+    near = pairs.near_vectors(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", radius=1.16)
+    links = near.select(F.col("id1").alias("a"), F.col("id2").alias("b"))
     roots = connected(links, workspace(spark, "components")).select(F.col("node").alias("vec_id"), "root")
     out = table(spark, sf_dir, "embeddings").select("vec_id").join(roots, "vec_id", "left")
     return out.select("vec_id", F.coalesce("root", "vec_id").alias("component"))
@@ -354,7 +360,7 @@ leaders AS (SELECT unnest(led) AS leader FROM walk WHERE ord = (SELECT max(ord)
 
 def close_vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     nodes = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("vec_id").alias("ord"))
-    return nodes, written(vector_pairs(spark, sf_dir).where("d < 1.2").select("id1", "id2"), workspace(spark, "close"), "links")
+    return nodes, written(pairs.near_vectors(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", radius=1.2).select("id1", "id2"), workspace(spark, "close"), "links")
 
 
 @query(f"""WITH RECURSIVE {SQL_LEADERS}

@@ -163,11 +163,17 @@ class RMSD(Driver):
     hydrogens: bool = False
 
     def calc(self, rows: DataFrame) -> DataFrame:
-        key = rows.select("struct_id", F.array_join(F.array_sort("elements"), "").alias("formula"))
-        met = pairs.unordered(key, "struct_id", ["formula"]).select("id1", "id2")
+        some = ["is_new"] if "is_new" in rows.columns else []
+        key = rows.select("struct_id", F.array_join(F.array_sort("elements"), "").alias("formula"), *some)
+        met = pairs.unordered(key, "struct_id", ["formula"], some)
+        met = (met.where("is_new1 OR is_new2") if some else met).select("id1", "id2")
         return local.crystal_rmsds(local.paired(met, rows), self.nn, self.hydrogens)
 
 
+#: Drivers whose rows are pairs of structures.
+PAIRWISE = (DuplicateCheck, RMSD)
+
+
 @dataclass(frozen=True)
 class Workflow:
     """Drivers one after another, each on what the one before returns."""
@@ -187,7 +193,8 @@ class Workflow:
 
 @dataclass(frozen=True)
 class FolderRun:
-    """A driver over a folder of structure files into a Parquet folder; a run that broke off goes on where it stopped."""
+    """A driver over a folder of structure files into a Parquet folder; a run that broke off goes on where it stopped. A driver
+    of pairs compares new structures with each other and with the old ones."""
 
     driver: Driver
     source: str
@@ -197,4 +204,5 @@ class FolderRun:
     def calc(self, spark: SparkSession) -> DataFrame:
         rows = files.read_dictionary(spark, self.source, self.file_format).drop("source_path")
         checked_settings(self.driver, f"{self.output.rstrip('/')}-settings.json")
-        return incremental.run_remaining(rows, self.output, self.driver.calc)
+        run = incremental.run_remaining_pairs if isinstance(self.driver, PAIRWISE) else incremental.run_remaining
+        return run(rows, self.output, self.driver.calc)

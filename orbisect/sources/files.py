@@ -10,6 +10,7 @@ from collections.abc import Iterable, Iterator, Sequence
 
 import pandas as pd
 import pyarrow.fs as pafs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -80,9 +81,10 @@ def write(structures: DataFrame, path: str, file_format: str = "json", combined:
             for r in frame.to_dict("records"):
                 r = {**r, "geometry": [list(map(float, p)) for p in r["geometry"]], "lattice": [list(map(float, v)) for v in r["lattice"]], "elements": list(r["elements"]), "properties": dict(r["properties"] or {})}
                 name = f"{folder}/{r['struct_id']}.{ext}"
-                with store.open_output_stream(f"{name}.part") as out:
+                temp = f"{name}.{TaskContext.get().taskAttemptId()}.part"
+                with store.open_output_stream(temp) as out:
                     out.write(text(r).encode())
-                store.move(f"{name}.part", name)
+                store.move(temp, name)
                 names.append(name)
             yield pd.DataFrame({"file": names})
 

@@ -23,19 +23,49 @@ def has_result(column: str) -> Column:
     return F.coalesce(~text.isin("", "0", "0.0", "false", "[]", "{}"), F.lit(False))
 
 
+def there(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 def run_remaining(jobs: DataFrame, output: str, calculate: Callable[[DataFrame], DataFrame], key: str = "struct_id", result: str | None = None) -> DataFrame:
     """Calculate what the Parquet folder `output` lacks, append it there, and return the whole. A run that broke off left
-    whole files or none, so the next one goes on from there."""
+    whole files or none, so the next one goes on from there. Jobs whose calculation gave no row are listed as done beside
+    the output and not calculated again; with `result`, those without one are."""
     spark = jobs.sparkSession
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(output)
-    if where.getFileSystem(conf).exists(where):
+    todo = jobs
+    if there(spark, output):
         done = spark.read.parquet(output)
-        done = done.where(has_result(result)) if result else done
-        todo = remaining(jobs, done, key=key)
-    else:
-        todo = jobs
+        todo = remaining(todo, done.where(has_result(result)) if result else done, key=key)
+    if not result and there(spark, f"{output}-done"):
+        todo = remaining(todo, spark.read.parquet(f"{output}-done"), key=key)
     calculate(todo).write.mode("append").parquet(output)
+    if not result:
+        done_now(jobs, output, key)
+    return spark.read.parquet(output)
+
+
+def done_now(jobs: DataFrame, output: str, key: str = "struct_id") -> None:
+    """Add to the list beside the output the jobs that it lacks."""
+    spark, path = jobs.sparkSession, f"{output}-done"
+    ids = jobs.select(key).distinct()
+    (remaining(ids, spark.read.parquet(path), key=key) if there(spark, path) else ids).write.mode("append").parquet(path)
+
+
+def run_remaining_pairs(jobs: DataFrame, output: str, calculate: Callable[[DataFrame], DataFrame], key: str = "struct_id") -> DataFrame:
+    """As run_remaining() for pairs (id1, id2) of jobs: of the jobs with a column `is_new`, calculate gives the pairs of which
+    one is new. New is what the list of done jobs lacks; pairs that a run which broke off has left count once."""
+    spark = jobs.sparkSession
+    if there(spark, f"{output}-done"):
+        old = spark.read.parquet(f"{output}-done").select(key).distinct().withColumn("__old", F.lit(True))
+        marked = jobs.join(old, key, "left").withColumn("is_new", F.col("__old").isNull()).drop("__old")
+    else:
+        marked = jobs.withColumn("is_new", F.lit(True))
+    found = calculate(marked)
+    if there(spark, output):
+        found = found.join(spark.read.parquet(output).select("id1", "id2").distinct(), ["id1", "id2"], "left_anti").select(*found.columns)
+    found.write.mode("append").parquet(output)
+    done_now(jobs, output, key)
     return spark.read.parquet(output)
 
 
@@ -44,15 +74,23 @@ def structure_stream(spark: SparkSession, folder: str, schema: str, files_per_ba
     return spark.readStream.schema(schema).option("multiLine", "true").option("maxFilesPerTrigger", files_per_batch).json(folder)
 
 
-def upsert_stream(stream: DataFrame, table: str, checkpoint: str, key: str = "struct_id") -> StreamingQuery:
-    """Keep a table of the newest row of each key: each micro-batch is merged into a new version of the folder `table`, named
-    by the batch, so a batch that is run again writes the same version."""
+def newest(rows: DataFrame, key: str, order: str | None) -> DataFrame:
+    """One row of each key: that with the largest `order` (nulls least), ties by the rows' own contents."""
+    by = F.struct(*([F.col(order)] if order else []), F.xxhash64(F.to_json(F.struct(*rows.columns))))
+    return rows.groupBy(key).agg(F.max_by(F.struct(*rows.columns), by).alias("r")).select("r.*")
+
+
+def upsert_stream(stream: DataFrame, table: str, checkpoint: str, key: str = "struct_id", order: str | None = None) -> StreamingQuery:
+    """Keep a table of the newest row of each key, by the column `order`, also against rows of earlier batches; without it the
+    later batch wins, and within one batch any row of a key, but always the same. Each micro-batch is merged into a new
+    version of the folder `table`, named by the batch, so a batch that is run again writes the same version."""
 
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        rows = batch.dropDuplicates([key])
+        rows = newest(batch, key, order)
         if number:
-            rows = upserted(spark.read.parquet(f"{table}/v={number - 1}"), rows, key)
+            old = spark.read.parquet(f"{table}/v={number - 1}")
+            rows = newest(old.unionByName(rows), key, order) if order else upserted(old, rows, key)
         rows.write.mode("overwrite").parquet(f"{table}/v={number}")
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

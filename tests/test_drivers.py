@@ -61,3 +61,15 @@ def test_folder_runs_go_on(spark, rows, tmp_path):
     assert run.calc(spark).count() == 1
     files.write(rows, str(tmp_path / "in"), overwrite=True)
     assert run.calc(spark).count() == 3
+
+
+@pytest.mark.parametrize("driver", [D.RMSD(6), D.DuplicateCheck()])
+def test_pairwise_runs_go_on(spark, rows, tmp_path, driver):
+    """The second run has the pairs of new structures with each other and with old ones, and none twice."""
+    files.write(rows.where("struct_id <> 'b'"), str(tmp_path / "in"))
+    run = D.FolderRun(driver, str(tmp_path / "in"), str(tmp_path / "out"))
+    first = run.calc(spark).count()
+    files.write(rows, str(tmp_path / "in"), overwrite=True)
+    want = sorted((r.id1, r.id2) for r in driver(rows).collect())
+    assert first < len(want) and sorted((r.id1, r.id2) for r in run.calc(spark).collect()) == want
+    assert run.calc(spark).count() == len(want)
