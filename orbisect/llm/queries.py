@@ -27,6 +27,22 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+#: The digest's base 32 is spelled out from the hexadecimal one.
+SQL_WARC = """
+WITH payloads AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages),
+bits AS (SELECT *, array_to_string(list_transform(string_split(hex, ''), lambda x: lpad(bin(strpos('0123456789abcdef', x) - 1), 4, '0')), '') AS b FROM payloads),
+named AS (
+  SELECT page_id, payload_bytes, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         1 + list_sum(list_transform(range(0, 5), lambda j: (1 << (4 - j)) * (substr(b, 5 * i + j + 1, 1) = '1')::INTEGER))::INTEGER, 1)), '') AS payload_digest,
+         max(page_id) OVER (PARTITION BY hex) AS kept
+  FROM bits)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest,
+       CASE WHEN page_id IS DISTINCT FROM kept AND kept IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM kept THEN kept END AS refers_to
+FROM named
+"""
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = line_dedup.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"), min_docs=10, min_chars=1)
     return docs.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_dropped").alias("n_dropped"), F.sha2("text", 256).alias("kept_sha256"))
@@ -117,4 +133,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_line_dedup": SQL_LINE_DEDUP, "op5_url_rules": SQL_URL_RULES}
+    return {"op3_warc": SQL_WARC, "op4_line_dedup": SQL_LINE_DEDUP, "op5_url_rules": SQL_URL_RULES}

@@ -67,6 +67,8 @@ def test_stages_against_brute_force(spark, sf, tmp_path):
     assert abs(words(seen[3]) - words(seen[2])) <= 20
     m = pieces.model(public_tokenizers.path("piece_bpe_32k.model")).library
     assert sorted(str((r["doc_id"], list(r["ids"]))) for r in seen[4]) == sorted(str((r["doc_id"], m.encode(r["text"]))) for r in seen[3])
+    run = corpus_pipeline.run(spark, sf).collect()
+    assert sorted(map(str, run)) == sorted(str(r) for r in docs.collect())
 
 
 def test_run(spark, sf):
