@@ -31,7 +31,7 @@ GIANT, CHUNK = 65_536, 16_384
 #: Chunks of giant documents that a task scans.
 TASK_CHUNKS = 8
 #: Pairs of pieces and words that a process keeps.
-MEMO, WORDS = 300_000, 250_000
+MEMO, WORDS = 150_000, 150_000
 #: Fixed values of SentencePiece: piece types, model types, and what an unknown character costs a unigram path.
 NORMAL, USER_DEFINED, UNUSED = 1, 4, 5
 UNIGRAM, BPE = 1, 2
