@@ -52,8 +52,8 @@ def near_vectors(rows: DataFrame, key: str, vector: str, radius: float | None =
     """Pairs of vectors (arrays of one length, no nulls): with `radius`, each pair nearer than that once, id1 < id2; with `k`,
     each id1's k nearest id2, ties by id2. Columns id1, id2, value (the Euclidean distance) and `keep` of both sides.
 
-    Vectors are dealt to the nearest of up to CENTRES of them and there, by hash, in blocks of about BLOCK, as many as the
-    table needs. Two blocks whose centres are farther apart than the radius and both cells' widths hold no such pair, by
+    With a radius, vectors are dealt to the nearest of up to CENTRES of them and there, by hash, in blocks of about BLOCK, as
+    many as the table needs; with k by hash alone. Two blocks whose centres are farther apart than the radius and both cells' widths hold no such pair, by
     the triangle inequality, and don't meet; all others do, so the result is exact. Distances are computed a pair of
     blocks at a time, and only what is near leaves it. With k, what meets is every pair of blocks: n(n-1)/2 distances,
     of which k a vector and pair of blocks are kept.
@@ -61,7 +61,8 @@ def near_vectors(rows: DataFrame, key: str, vector: str, radius: float | None =
     if (radius is None) == (k is None):
         raise ValueError("either a radius or k is asked for")
     plain = rows.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v"), F.struct(*keep).alias("keep") if keep else F.lit(None).cast("int").alias("keep"))
-    drawn = np.array([r.v for r in plain.orderBy(F.xxhash64("id"), "id").select("v").limit(CENTRES).collect()])
+    centres = max(1, min(CENTRES, rows.count() // BLOCK)) if k is None else 1  # no more cells than blocks are needed
+    drawn = np.array([r.v for r in plain.orderBy(F.xxhash64("id"), "id").select("v").limit(centres).collect()])
     if not len(drawn):
         drawn = np.zeros((1, 1))
     kept = plain.schema["keep"].dataType.simpleString()
