@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import html_text, imatch, line_dedup, mixing, pieces, quality, simhash, token_files, url_rules, warc
+from . import centroids, conversation_trie, decontamination, html_text, imatch, line_dedup, mixing, pieces, quality, simhash, token_files, url_rules, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -117,6 +117,95 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM ran
 """
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.clustered(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), centroids.Clustering())
+
+
+def sql_centroids(k: int = 8, rounds: int = 10, dims: int = 64) -> str:
+    """The rounds, each a pair of tables: vectors with their nearest centroid, then the next centroids."""
+    steps = []
+    for n in range(rounds + 1):
+        steps.append(f"""near{n} AS MATERIALIZED (
+  SELECT rid, any_value(vec_id) AS vec_id, any_value(v) AS v, min({{'d': d, 'c': c}}) AS best
+  FROM (SELECT rid, vec_id, v, c, list_sum(list_transform(list_zip(v, m), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS d FROM kept, c{n}) GROUP BY rid)""")
+        if n < rounds:
+            steps.append(f"""sums{n} AS (
+  SELECT c, d, sum(x) AS s, count(*)::HUGEINT AS n
+  FROM (SELECT best.c AS c, unnest(v) AS x, generate_subscripts(v, 1) AS d FROM near{n}) GROUP BY c, d),
+means{n} AS (SELECT c, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY d) AS m FROM sums{n} GROUP BY c),
+c{n + 1} AS MATERIALIZED (SELECT old.c, coalesce(means{n}.m, old.m) AS m FROM c{n} AS old LEFT JOIN means{n} ON old.c = means{n}.c)""")
+    return f"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {dims}),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, v) - 1 AS c, v AS m FROM (SELECT sha256('3:' || vec_id) AS h, v FROM kept ORDER BY h, v LIMIT {k})),
+{(","  + chr(10)).join(steps)},
+ends AS (SELECT c, sha256(array_to_string(m, ',')) AS centroid_sha256 FROM c{rounds})
+SELECT vec_id, best.c::INTEGER AS cluster, best.d AS distance, (sum(best.d) OVER (PARTITION BY best.c))::BIGINT AS cluster_inertia,
+       (sum(best.d) OVER ())::BIGINT AS inertia, centroid_sha256
+FROM near{rounds} JOIN ends ON best.c = ends.c
+"""
+
+
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")
+    found = decontamination.scanned(docs, items, size=10, columns=["doc_id"])
+    listed = F.array_join(F.array_sort(F.transform("found.item_ids", lambda x: x.cast("string"))), ",")
+    return found.select(
+        "doc_id", F.col("found.n_words").alias("n_words"), F.col("found.n_hit").alias("n_hit"), F.size("found.item_ids").cast("long").alias("n_items"),
+        F.sha2(listed, 256).alias("items_sha256"), (F.col("found.n_hit") > 0).alias("contaminated"),
+    )
+
+
+SQL_DECONTAMINATION = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+items AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+wins AS (SELECT DISTINCT item_id, ws[i:i + 9] AS win FROM (SELECT item_id, ws, unnest(range(1, greatest(len(ws) - 9, 1) + 1)) AS i FROM items WHERE len(ws) > 0)),
+sizes AS (SELECT DISTINCT len(win) AS n FROM wins),
+grams AS (SELECT r, i, n, ws[i:i + n - 1] AS win FROM (SELECT r, ws, n, unnest(range(1, len(ws) - n + 2)) AS i FROM docs, sizes WHERE len(ws) >= n)),
+met AS (SELECT r, i, n, item_id FROM grams JOIN wins ON grams.win = wins.win),
+hit AS (SELECT r, count(DISTINCT k) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS k FROM met) GROUP BY r),
+own AS (SELECT r, count(*) AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS listed FROM (SELECT DISTINCT r, item_id FROM met) GROUP BY r)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(listed, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN hit ON docs.r = hit.r LEFT JOIN own ON docs.r = own.r
+"""
+
+
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = conversation_trie.prefix_trie(table(spark, sf_dir, "conversations"), family=5, heads=9)
+    return nodes.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
+#: crc32 a byte, then eight bits, at a time; -1 stands for a bit.
+SQL_CONVERSATION_TRIE = """
+WITH turns AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, turn FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT conv_id, list({'role': role, 'text': text} ORDER BY turn NULLS FIRST, role, text) AS ts FROM turns GROUP BY conv_id),
+crc AS (
+  SELECT *, xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(conv_id::VARCHAR, ''), lambda ch: list_prepend(ascii(ch)::BIGINT, [-1::BIGINT, -1, -1, -1, -1, -1, -1, -1])))),
+         lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, 3988292384 * (a & 1)) END), 4294967295) % 9 AS h
+  FROM own),
+convs AS (SELECT a.conv_id, list_concat(coalesce(b.ts, [])[:a.h], a.ts[a.h + 1:]) AS ts FROM crc AS a LEFT JOIN own AS b ON b.conv_id = a.conv_id - ((a.conv_id % 5) + 5) % 5),
+members AS (SELECT conv_id, len(ts) AS n, d, ts[:d] AS p FROM (SELECT conv_id, ts, unnest(range(0, len(ts) + 1)) AS d FROM convs)),
+nodes AS (
+  SELECT d, p, min(conv_id) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (n = d), '')) AS ends_sha256
+  FROM members GROUP BY d, p),
+kids AS (SELECT d - 1 AS d, p[:d - 1] AS p, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY 1, 2),
+told AS (
+  SELECT nodes.*, coalesce(n_children, 0) AS n_children, CASE WHEN nodes.d > 0 THEN (n_convs - 1) * strlen(nodes.p[nodes.d].text) ELSE 0 END AS saved
+  FROM nodes LEFT JOIN kids ON nodes.d = kids.d AND nodes.p = kids.p),
+sums AS (
+  SELECT a AS d, p[:a] AS p, count(*) FILTER (n_children = 0) AS n_leaves, sum(saved) AS saved_tokens
+  FROM (SELECT p, n_children, saved, unnest(range(0, d + 1)) AS a FROM told) GROUP BY 1, 2)
+SELECT told.conv_id, told.d::BIGINT AS depth, up.conv_id AS parent_conv_id, told.n_convs, told.n_children, n_leaves, saved_tokens::BIGINT AS saved_tokens, told.ends_sha256
+FROM told JOIN sums ON told.d = sums.d AND told.p = sums.p LEFT JOIN nodes AS up ON up.d = told.d - 1 AND up.p = told.p[:told.d - 1]
+"""
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_token_files": op1_token_files,
@@ -129,8 +218,18 @@ def queries() -> dict[str, Query]:
         "op8_imatch": op8_imatch,
         "op9_quality": op9_quality,
         "op10_html_text": op10_html_text,
+        "op11_centroids": op11_centroids,
+        "op12_decontamination": op12_decontamination,
+        "op13_conversation_trie": op13_conversation_trie,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc": SQL_WARC, "op4_line_dedup": SQL_LINE_DEDUP, "op5_url_rules": SQL_URL_RULES}
+    return {
+        "op3_warc": SQL_WARC,
+        "op4_line_dedup": SQL_LINE_DEDUP,
+        "op5_url_rules": SQL_URL_RULES,
+        "op11_centroids": sql_centroids(),
+        "op12_decontamination": SQL_DECONTAMINATION,
+        "op13_conversation_trie": SQL_CONVERSATION_TRIE,
+    }
