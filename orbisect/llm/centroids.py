@@ -72,9 +72,13 @@ def nearest(x: np.ndarray, centroids: np.ndarray, order: np.ndarray, step: int)
     return who, best
 
 
+def components(batch: pa.RecordBatch, how: Clustering) -> np.ndarray:
+    return batch.column("v").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, how.dims)
+
+
 def vectors(batch: pa.RecordBatch, how: Clustering) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(row numbers, integer vectors): those that 64 bits hold, then the others."""
-    x = batch.column("v").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, how.dims)
+    x = components(batch, how)
     with np.errstate(over="ignore"):
         wide = (np.abs(x * how.scale) >= NARROW - 1).any(axis=1)
     for rows in (np.flatnonzero(~wide), np.flatnonzero(wide)):
@@ -111,17 +115,18 @@ def variance_order(rows: DataFrame, how: Clustering) -> np.ndarray:
 
     def moments(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, sums = 0, np.zeros((2, how.dims))
-        for batch in batches:
-            for _, x in vectors(batch, how):
-                y = x.astype(np.float64)
-                n, sums = n + len(y), sums + np.stack([y.sum(axis=0), (y**2).sum(axis=0)])
+        with np.errstate(over="ignore", invalid="ignore"):
+            for batch in batches:
+                x = components(batch, how)
+                n, sums = n + len(x), sums + np.stack([x.sum(axis=0), (x**2).sum(axis=0)])
         yield pa.RecordBatch.from_arrays([pa.array(range(how.dims), pa.int32()), pa.array([n] * how.dims, pa.int64()), pa.array(sums[0]), pa.array(sums[1])], ["dim", "n", "s", "ss"])
 
     total = rows.mapInArrow(moments, "dim int, n long, s double, ss double").groupBy("dim").agg(*(F.sum(c).alias(c) for c in ("n", "s", "ss")))
-    variance = np.zeros(how.dims)
+    s, ss = np.zeros(how.dims), np.zeros(how.dims)
     for r in total.collect():
-        variance[r.dim] = r.ss / r.n - (r.s / r.n) ** 2 if r.n else 0.0
-    return np.argsort(-np.nan_to_num(variance), kind="stable")
+        s[r.dim], ss[r.dim] = r.s / max(r.n, 1), r.ss / max(r.n, 1)
+    with np.errstate(over="ignore", invalid="ignore"):
+        return np.argsort(-np.nan_to_num(ss - s**2), kind="stable")
 
 
 def moved(rows: DataFrame, centroids: np.ndarray, order: np.ndarray, how: Clustering) -> np.ndarray:

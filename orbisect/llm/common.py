@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import pyarrow.fs as pafs
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import workspace, written
 
-__all__ = ["ascii_lower", "filesystem", "identity", "stripped", "words", "workspace", "written"]
+__all__ = ["ascii_lower", "filesystem", "held", "identity", "stripped", "words", "workspace", "written"]
 
 #: Words and white space as the operators see them: runs of anything but space, tab, LF, VT, FF and CR.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -50,6 +50,11 @@ def identity(doc_id: str = "doc_id", text: str = "text") -> list[Column]:
     return [F.coalesce(F.col(doc_id), F.lit(-(1 << 63))).alias(DOC[0]), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias(DOC[1])]
 
 
+def held(docs: DataFrame, *more: Column) -> DataFrame:
+    """docs as one column __doc beside its identity and more, so that no name of theirs meets an operator's own."""
+    return docs.select(F.struct("*").alias("__doc"), *identity(), *more)
+
+
 def words(text: Column) -> Column:
     """The words of a text in order; null has none."""
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"({WORD})"), F.lit(1))

@@ -200,12 +200,12 @@ def sweep(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from out.batches(1)
 
 
-def stitch(last: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def stitch(last: bool, fan: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Runs of neighbouring tasks become one, and the nodes between them are closed; the last one closes all."""
 
     def joined(table: pa.Table) -> pa.Table:
         rows = sorted(zip(*(table.column(c).to_pylist() for c in ("part", "blob")), strict=True))
-        out, run = Output(rows[0][0] // FAN), None
+        out, run = Output(rows[0][0] // fan), None
         for _, blob in rows:
             if run:
                 run.meet(Run.load(blob), out.node)
@@ -263,13 +263,13 @@ def rebuilt(turns: DataFrame, family: int = 5, heads: int = 9) -> DataFrame:
     return arrays.select("conv_id", F.col("turns.digest").alias("digests"), F.col("turns.size").alias("sizes"))
 
 
-def trie(arrays: DataFrame, folder: str | None = None) -> DataFrame:
+def trie(arrays: DataFrame, folder: str | None = None, fan: int = FAN) -> DataFrame:
     """The nodes of the prefix trie of arrays (conv_id, digests, sizes): node, parent, depth, conv_id (the smallest member),
     parent_conv_id, n_convs, n_children, n_leaves, saved_tokens and ends_sha256. No arrays give no nodes.
 
     Empty arrays are members of the root alone. Equal arrays are dealt by conv_id too, so that a conversation that very many
     repeat is no task's; the ids that end at a node are hashed in blocks of bounded size, in one task for each node, as a
-    hash is sequential. The ranges are cut by a sample of at most a million keys of 16 bytes a turn.
+    hash is sequential. A task stitches fan runs a round. The ranges are cut by a sample of at most a million keys of 16 bytes a turn.
     """
     spark = arrays.sparkSession
     folder = folder or workspace(spark, "trie")
@@ -280,9 +280,9 @@ def trie(arrays: DataFrame, folder: str | None = None) -> DataFrame:
     swept = written(dealt.sortWithinPartitions("digests", "conv_id").mapInArrow(sweep, SWEPT), folder, "swept")
     found = [swept]
     while parts > 0:
-        parts = -(-parts // FAN) if parts > FAN else 0
-        runs = found[-1].where("kind = 'run'").select("part", "blob", F.floor(F.col("part") / FAN).alias("g"))
-        found.append(written(runs.groupBy("g").applyInArrow(stitch(last=not parts), SWEPT), folder, f"stitched-{len(found)}"))
+        parts = -(-parts // fan) if parts > fan else 0
+        runs = found[-1].where("kind = 'run'").select("part", "blob", F.floor(F.col("part") / fan).alias("g"))
+        found.append(written(runs.groupBy("g").applyInArrow(stitch(not parts, fan), SWEPT), folder, f"stitched-{len(found)}"))
     nodes = found[0].where("kind = 'node'")
     for more in found[1:]:
         nodes = nodes.unionByName(more.where("kind = 'node'"))

@@ -22,7 +22,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style textarea title noscript iframe xmp".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
 CONTAINERS = frozenset("article body center dd div main section td".split())
-#: Elements that hold no main text, and words of a class or id that say the same of any element but the page itself.
+#: Elements that hold no main text, and words that say the same of a block: a class all of whose words are among these
+#: (cookie-notice, but not ad-hoc), or so an id of a div that no article holds, as ids of others are made of headings.
 OUTSIDE = frozenset("aside button canvas footer form head header iframe menu nav noscript object script select style svg template textarea title".split())
 OUTSIDE_WORDS = frozenset(
     "ad ads advert advertisement adverts advertising aside banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disqus footer"
@@ -30,19 +31,63 @@ OUTSIDE_WORDS = frozenset(
     " respond share sharing sidebar signup social sponsor sponsored subscribe topbar widget widgets".split()
 )
 OUTSIDE_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search".split())
-PAGE = frozenset(("html", "body", "article", "main"))
+#: Blocks that a class or role can put outside; headings, paragraphs, items, cells and quotes are text whatever they are called.
+BLOCKS = frozenset("center details dialog div dl fieldset figure ol section table ul".split())
 #: Start tags that end an open element: the open one ends unless a tag that holds it in lies between.
 P_ENDED, P_HELD = ("p",), ("table", "button", *sorted(CONTAINERS - {"body"}))
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)>""", re.S)
+#: Comments and declarations, then a tag without quotes, then a tag's name.
+MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)", re.S)
+TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)([^<>"']*)>""")
+NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+#: What decides on a tag's end: a > ends it, a quote after = holds it open up to the next such quote.
+STOP = re.compile(r"""=\s*+(["'])|>""")
 #: A tag whose quotes don't close ends at the next > or <.
 LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/<>]*)([^<>]*)(?:>|(?=<)|\Z)")
-#: Characters within which a tag is looked for, and how many tags of a page are looked for beyond.
-NEAR, FAR = 4096, 64
 ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 
 
+def aside(name: str) -> bool:
+    """Whether a class or id says that its block isn't main text: all of its words do."""
+    said = [w for w in re.split(r"[^a-z]+", name) if w]
+    return bool(said) and OUTSIDE_WORDS.issuperset(said)
+
+
+class TagEnds:
+    """Where tags with quotes end. What was looked for in vain is remembered, so all tags of a page together take time in
+    proportion to it: each quote is followed at most once in vain, and each stretch without a quote or > is read once."""
+
+    def __init__(self, source: str):
+        self.source, self.vain, self.last = source, set(), (0, None)
+        self.no_more = {'"': len(source) + 1, "'": len(source) + 1}
+
+    def stop(self, at: int) -> re.Match | None:
+        """The first > or quote from `at` on."""
+        since, m = self.last
+        if m is None and since and at >= since or m is not None and since <= at <= m.start():
+            return m
+        self.last = (at, STOP.search(self.source, at))
+        return self.last[1]
+
+    def after(self, at: int) -> int:
+        """The place after the > that ends the tag whose attributes begin at `at`; 0 if a quote or the tag isn't closed."""
+        followed = []
+        while m := self.stop(at):
+            if not m[1]:
+                return m.end()
+            if m.end() in self.vain or m.end() >= self.no_more[m[1]]:
+                break
+            followed.append(m.end())
+            close = self.source.find(m[1], m.end())
+            if close < 0:
+                self.no_more[m[1]] = m.end()
+                break
+            at = close + 1
+        self.vain.update(followed)
+        return 0
+
+
 class Page:
     """A page's elements (parent, key, path number, nearest container, whether outside the main text) and its text chunks
     (element, text); a chunk of None is the edge of a block. Reading takes time in proportion to the page, however deep
@@ -58,27 +103,29 @@ class Page:
         self._read(source or "")
 
     def _read(self, source: str) -> None:
-        at, seek, end, far = 0, 0, len(source), FAR
+        at, seek, end, ends = 0, 0, len(source), TagEnds(source)
         while (lt := source.find("<", seek)) >= 0:
-            m = TAG.match(source, lt, min(end, lt + NEAR))
-            if (m is None or m.end() == lt + NEAR) and lt + NEAR < end and (far or source.startswith(("<!", "<?"), lt)):
-                m, far = TAG.match(source, lt), far - 1
-            m = m or LOOSE.match(source, lt)
+            m, rest, stop = TAG.match(source, lt), None, 0
+            if m is None and (m := MARKUP.match(source, lt)) is None and (m := NAME.match(source, lt)):
+                if stop := ends.after(m.end()):
+                    rest = source[m.end() : stop - 1]
+                else:
+                    m = LOOSE.match(source, lt)
             if m is None:
                 seek = lt + 1
                 continue
             if lt > at:
                 self._text(source[at:lt])
-            at = m.end()
+            at = stop or m.end()
             if m.lastindex:
-                closing, tag, rest = m[1], m[2].lower(), m[3]
+                closing, tag = m[1], m[2].lower()
                 if closing:
                     self._close(tag)
                 else:
-                    self._open(tag, rest)
+                    self._open(tag, m[3] if rest is None else rest)
                     if tag in RAW:
-                        stop = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(source, at)
-                        at = stop.start() if stop else end
+                        close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(source, at)
+                        at = close.start() if close else end
             seek = at
         if at < end:
             self._text(source[at:])
@@ -117,9 +164,11 @@ class Page:
         parent = self.stack[-1]
         kinds = sorted({re.sub(r"\d+", "#", c) for c in names.get("class", "").lower().replace(">", "").split()})
         outside = self.outside[parent] or tag in OUTSIDE
-        if not outside and names and tag not in PAGE:
-            said = re.split(r"[^a-z]+", f"{names.get('class', '')} {names.get('id', '')}".lower())
-            outside = not OUTSIDE_WORDS.isdisjoint(said) or names.get("role", "").lower() in OUTSIDE_ROLES
+        if not outside and names and tag in BLOCKS:
+            said = names.get("class", "").lower().split()
+            if tag == "div" and not self.places.get("article"):
+                said += names.get("id", "").lower().split()
+            outside = any(map(aside, said)) or names.get("role", "").lower() in OUTSIDE_ROLES
         key, node = ".".join((tag, *kinds)), len(self.parents)
         self.parents.append(parent)
         self.keys.append(key)

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import DOC, ascii_lower, identity, stripped, workspace, written
+from .common import DOC, ascii_lower, held, identity, stripped, workspace, written
 
 KEY = ("__h1", "__h2")
 
@@ -56,18 +56,20 @@ def without(lines: Column, runs: Column) -> Column:
 
 
 def deduplicated(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, folder: str | None = None) -> DataFrame:
-    """docs with `text` after its frequent lines went, and the structs' worth of __n_lines and __n_dropped.
+    """docs with `text` after its frequent lines went, and the counts __n_lines and __n_dropped.
 
     A line's key is the line stripped of white space at both ends, A-Z lowered. Keys of min_chars or more code points
     (empty keys never) in min_docs or more documents lose all their lines. A null or empty text is one empty line.
     Rows that repeat a doc_id and a text are one document; rows that only share a doc_id, null too, are several. Other
-    columns pass through.
+    columns pass through, whatever their names, but for two that are called as the counts: these are replaced.
     """
     folder = folder or workspace(docs.sparkSession, "lines")
     runs = written(dropped_runs(docs, folder, min_docs, min_chars), folder, "bitmaps")
-    rows = docs.select("*", *identity()).join(runs.withColumnRenamed("runs", "__runs"), list(DOC), "left")
-    lines = lines_of(F.col("text"))
-    kept = F.when(F.col("__runs").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(without(lines, F.col("__runs")), "\n"))
+    rows = held(docs).join(runs.withColumnRenamed("runs", "__runs"), list(DOC), "left")
+    text = F.col("__doc").getField("text")
+    lines = lines_of(text)
+    kept = F.when(F.col("__runs").isNull(), F.coalesce(text, F.lit(""))).otherwise(F.array_join(without(lines, F.col("__runs")), "\n"))
     dropped = F.coalesce(F.aggregate("__runs", F.lit(0), lambda a, r: a + r["len"]), F.lit(0))
-    out = rows.withColumn("__kept", kept).withColumn("__n_lines", F.size(lines).cast("long")).withColumn("__n_dropped", dropped.cast("long"))
-    return out.select(*(F.col("__kept").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns), "__n_lines", "__n_dropped")
+    counts = {"__n_lines": F.size(lines).cast("long"), "__n_dropped": dropped.cast("long")}
+    own = [kept.alias(c) if c == "text" else F.col("__doc").getField(c).alias(c) for c in docs.columns if c not in counts]
+    return rows.select(*own, *(v.alias(k) for k, v in counts.items()))

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, identity, workspace, written
+from .common import WORD, held, identity, workspace, written
 
 PARTS = 4096
 BUCKETS = 4096
@@ -166,17 +166,25 @@ def taken_words(docs: DataFrame, mix: Mix = Mix(), folder: str | None = None) ->
 
 def mixed_texts(docs: DataFrame, mix: Mix = Mix(), folder: str | None = None) -> DataFrame:
     """The mix as documents: for each document and epoch in which words of it are taken, a row with docs' columns whose text
-    is what is taken, white space between words as it was; n_chars follows the text. Whole texts stay as they are."""
+    is what is taken, white space between words as it was; n_chars follows the text. Whole texts stay as they are.
+
+    Takes belong to a doc_id, a text and a source: rows that repeat all three share them out in a fixed order, by the hash
+    of their other columns. Null texts are never taken; docs' other columns pass through, whatever their names.
+    """
     m = mixed(docs, mix, folder)
     spans = m.pieces.groupBy("row", "epoch").agg(F.sum("n").alias("n"), F.array_sort(F.collect_list(F.struct("first", "n"))).alias("spans"))
-    whole = m.rows.select("row", "__d", "__t", "size").join(spans, "row")
-    # Rows that repeat a doc_id and a text are one key here; the k-th of them has the k-th list of takes.
-    by_row = whole.groupBy("__d", "__t", "row").agg(F.collect_list(F.struct("epoch", "spans", (F.col("n") == F.col("size")).alias("all"))).alias("takes"))
-    takes = by_row.groupBy("__d", "__t").agg(F.collect_list("takes").alias("__takes"))
-    numbered = docs.select("*", *identity()).withColumn("__k", F.row_number().over(Window.partitionBy("__d", "__t").orderBy(F.lit(0))))
-    met = numbered.join(takes, ["__d", "__t"]).select("*", F.explode(F.get("__takes", F.col("__k") - 1)).alias("__take"))
-    pieces = F.regexp_extract_all("text", F.lit(rf"({WORD}[\x20\x09-\x0D]*)"), F.lit(1))
+    whole = m.rows.select("row", "__d", "__t", F.xxhash64(F.col("source").isNull(), "source").alias("__s"), "size").join(spans, "row")
+    # Rows that repeat a doc_id, a text and a source are one key here; the k-th of them has the k-th list of takes.
+    own = ["__d", "__t", "__s"]
+    by_row = whole.groupBy(*own, "row").agg(F.array_sort(F.collect_list(F.struct("epoch", "spans", (F.col("n") == F.col("size")).alias("all")))).alias("takes"))
+    ranked = Window.partitionBy(*own).orderBy("takes")
+    takes = by_row.withColumn("__k", F.row_number().over(ranked)).drop("row")
+    numbered = held(docs, F.xxhash64(F.col("source").isNull(), "source").alias("__s"))
+    numbered = numbered.withColumn("__k", F.row_number().over(Window.partitionBy(*own).orderBy(F.xxhash64("__doc"))))
+    met = numbered.join(takes, [*own, "__k"]).select("__doc", F.explode("takes").alias("__take"))
+    text = F.col("__doc").getField("text")
+    pieces = F.regexp_extract_all(text, F.lit(rf"({WORD}[\x20\x09-\x0D]*)"), F.lit(1))
     some = F.transform(F.array(pieces), lambda w: F.array_join(F.flatten(F.transform("__take.spans", lambda s: F.slice(w, s["first"].cast("int") + 1, s["n"].cast("int")))), ""))[0]
-    out = met.withColumn("__text", F.when(F.col("__take.all"), F.col("text")).otherwise(some))
+    out = met.withColumn("__text", F.when(F.col("__take.all"), text).otherwise(some))
     named = {"text": F.col("__text"), "n_chars": F.length("__text").cast("long")}
-    return out.select(*(named.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns))
+    return out.select(*(named.get(c, F.col("__doc").getField(c)).alias(c) for c in docs.columns))

@@ -169,5 +169,6 @@ def filtered(docs: DataFrame, folder: str | None = None) -> DataFrame:
     """The rows of docs that rated() keeps, with all their columns. Only measures and fences are written; no text moves."""
     folder = folder or workspace(docs.sparkSession, "quality")
     thresholds = written(fences_of(sketches(written(measured(docs), folder, "measures"))), folder, "fences")
-    rows = docs.withColumn("__m", measures(F.col("text")))
-    return with_verdict(rows, "__m", "lang", "source", thresholds, "__kept").where("__kept").select(*docs.columns)
+    rows = docs.select(F.struct("*").alias("__doc"), "lang", "source", measures(F.col("text")).alias("__m"))
+    kept = with_verdict(rows, "__m", "lang", "source", thresholds, "__kept").where("__kept")
+    return kept.select(*(F.col("__doc").getField(c).alias(c) for c in docs.columns))

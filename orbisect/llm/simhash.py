@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from ..operators.components import connected
 from ..session import removed
-from .common import DOC, identity, workspace, written
+from .common import DOC, held, identity, workspace, written
 
 SEED = 42
 #: Segment values that more distinct fingerprints than this share are cut once more.
@@ -397,10 +397,11 @@ def grouped_by_similarity(docs: DataFrame, size: int = 5, least: float = 0.8, fo
 
 def one_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
     """docs with one row of each group of `found`: that whose doc_id is the component_id; of rows that tie, the first by
-    text hash."""
+    text hash, then by the hash of all their columns."""
     found = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     first = found.withColumn("n", F.row_number().over(Window.partitionBy("root").orderBy("th"))).where("n = 1")
     stay = first.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("__d"), F.col("th").alias("__t"))
-    kept = docs.select("*", *identity()).join(stay, list(DOC), "left_semi")
+    kept = held(docs).join(stay, list(DOC), "left_semi")
     # Rows that repeat a doc_id and a text are alike to the links: one of them stays. The text moves once for both steps.
-    return kept.withColumn("__n", F.row_number().over(Window.partitionBy(*DOC).orderBy(F.lit(0)))).where("__n = 1").select(*docs.columns)
+    kept = kept.withColumn("__n", F.row_number().over(Window.partitionBy(*DOC).orderBy(F.xxhash64("__doc")))).where("__n = 1")
+    return kept.select(*(F.col("__doc").getField(c).alias(c) for c in docs.columns))

@@ -25,17 +25,20 @@ from .common import LOWER, UPPER
 
 @dataclass(frozen=True)
 class Rule:
-    """text: what is reported; glob: what it reads; verdict: allow or block. Of rules that fit, the longest text wins."""
+    """text: what is reported; glob: what it reads, or several of which any will do; verdict: allow or block. Of rules that
+    fit, the longest text wins."""
 
     text: str
-    glob: str
+    glob: str | tuple[str, ...]
     verdict: str
 
 
 def path_rule(text: str, verdict: str) -> Rule:
-    """A rule like example.com/en/: it fits its host, all subdomains, and every path that starts with its path."""
+    """A rule like example.com/en/: it fits its host, all subdomains, and every path that starts with its path. Without a
+    slash it fits all of their paths, the empty one too."""
     host, slash, path = text.partition("/")
-    return Rule(text, f"~.{host.lower()}{slash}{path}*", verdict)
+    name = f"~.{host.lower()}"
+    return Rule(text, f"{name}/{path}*" if slash else (name, f"{name}/*"), verdict)
 
 
 class Automaton:
@@ -46,15 +49,17 @@ class Automaton:
         places: list[tuple[list[bool], list[bool]]] = []  # what each place reads, what it loops on after it was reached
         begin, ends = [], []
         every, name = [True] * 256, [c != ord("/") for c in range(256)]
-        for r in self.rules:
+        later = [0x80 <= c < 0xC0 for c in range(256)]  # bytes that go on with a character
+        globs = [(i, g) for i, r in enumerate(self.rules) for g in ([r.glob] if isinstance(r.glob, str) else r.glob)]
+        for _, glob in globs:
             begin.append(len(places))
             reads: list[list[list[bool]]] = [[[False] * 256, [False] * 256]]  # the first place stands before the text
-            for c in r.glob:
+            for c in glob:
                 if c in "*~":
                     loop = every if c == "*" else name
                     reads[-1][1] = [a or b for a, b in zip(reads[-1][1], loop, strict=True)]
                 elif c == "?":
-                    reads.append([every, [False] * 256])
+                    reads.append([[not x for x in later], later])
                 else:
                     reads += [[[x == b for x in range(256)], [False] * 256] for b in c.encode()]
             places += [(a, b) for a, b in reads]
@@ -62,7 +67,7 @@ class Automaton:
         self.words = max(1, -(-len(places) // 64))
         self.reads, self.loops = (self.masks([p[k] for p in places]) for k in (0, 1))
         self.begin = self.bits(begin)
-        self.ends = [(i // 64, np.uint64(1 << (i % 64))) for i in ends]
+        self.ends = [(i, k // 64, np.uint64(1 << (k % 64))) for (i, _), k in zip(globs, ends, strict=True)]
 
     def bits(self, at: list[int]) -> np.ndarray:
         out = np.zeros(self.words, np.uint64)
@@ -93,7 +98,7 @@ class Automaton:
             moved[:, 1:] |= now[:, :-1] >> top  # a rule may lie across words
             state[:live] = (moved & self.reads[c]) | (now & self.loops[c])
         best = np.full(len(texts), -1)
-        for i, (word, bit) in enumerate(self.ends):  # in order of length: the longest is put last
+        for i, word, bit in self.ends:  # in order of length: the longest is put last
             best[(state[:, word] & bit) != 0] = i
         out = np.empty_like(best)
         out[order] = best

@@ -42,4 +42,5 @@ def clashing(docs):
     from pyspark.sql import functions as F
 
     names = ["row", "size", "part", "idx", "block", "h", "fp", "th", "root", "runs", "pos", "kept", "m", "bin", "n", "level", "host", "path", "rule", "verdict", "ids", "shard", "taken", "known", "a", "e", "k"]
+    names += [f"__{n}" for n in ("d", "t", "s", "k", "n", "m", "doc", "runs", "kept", "take", "takes", "text", "lang", "source", "n_lines", "n_dropped", "key", "pos", "line", "at", "row")]
     return docs.select("*", *(F.lit("more").alias(n) for n in names))

@@ -27,6 +27,67 @@ def test_what_is_main():
     assert H.Page(None).text([]) == ""
 
 
+def test_ordinary_names_are_kept():
+    """Headings, paragraphs and cells are text whatever their ids and classes say; blocks go for a whole name alone."""
+    kept = {
+        '<h2 id="related-work">R</h2><p>x</p>': "R x", '<h2 id="comments">C</h2><p id="comments-policy">x</p>': "C x", '<p class="social-science">x</p>': "x",
+        '<h2 id="header-design" class="widget">x</h2>': "x", '<div class="ad-hoc">x</div>': "x", '<section id="notices"><h3>N</h3>x</section>': "N x",
+        '<div id="menu">x</div>': "x", '<ul class="menu-engineering"><li class="share">x</ul>': "x", '<table><tr><td class="promo">x</table>': "x",
+        '<div class="shared login-free">x</div><blockquote class="comment">y</blockquote>': "x y",
+    }
+    for body, want in kept.items():
+        assert H.Page(page(body)).text([]) == want, body
+    gone = ['<div class="comments">c</div>', '<section class="x related">c</section>', '<div class="cookie-notice_2">c</div>', '<ul class="share-menu"><li>c</ul>', '<div role="navigation">c</div>', '<div class="AD">c</div>']
+    for body in gone:
+        assert H.Page(page(f"<p>x</p>{body}<p>y</p>")).text([]) == "x y", body
+    assert H.Page('<main><p>x</p><div id="comments"><p>c</p></div></main>').text([]) == "x"
+
+
+def test_long_tags_are_read_alike_however_many():
+    for n in (1, 64, 65, 1000):
+        image = f"<img src=\"data:image/svg+xml,<svg viewBox='0 0 9 9'>{'<path d=M0/>' * 500}</svg>\" alt='>'>"
+        source = page("<p>start</p>" + f"{image}<p>between</p>" * n + "<p>end</p>")
+        assert H.Page(source).text([]) == "start" + " between" * n + " end", n
+
+
+def test_quotes_hold_a_tag_open():
+    cases = {'<p title="a>b">x': "x", "<p title='a>\"b' class=y>x": "x", "<p title=don't>x": "x", "<p title = \n'>'>x": "x", "<p 'a>x": "x", '<p a="x>y': '"x>y'[4:]}
+    for source, want in list(cases.items())[:-1]:
+        assert H.Page(source).text([]) == want, source
+
+
+@pytest.mark.parametrize("part", ["<a =' ", "<a ='x <b =\"y ", "<a x=\"1\" y='", "<a x=\"'\" ", "=\"<a ", "<a x='>' ", "<a x=\" '", "<img a='<' b=\""])
+def test_quotes_that_do_not_close_take_time_in_proportion(part):
+    source = part * (400_000 // len(part))
+    began = time.process_time()
+    H.Page(source)
+    assert time.process_time() - began < 6, part
+
+
+def test_tag_ends_against_plain_scan():
+    """TagEnds, which remembers, against a scan that doesn't."""
+    import random
+
+    def plain(source, at):
+        while at < len(source):
+            if source[at] == ">":
+                return at + 1
+            if m := re.compile(r"=\s*([\"'])").match(source, at):
+                close = source.find(m[1], m.end())
+                if close < 0:
+                    return 0
+                at = close
+            at += 1
+        return 0
+
+    r = random.Random(3)
+    for _ in range(3000):
+        source = "".join(r.choice("ab =='\">< ") for _ in range(r.randint(0, 40)))
+        ends = H.TagEnds(source)
+        for at in sorted(r.randint(0, len(source)) for _ in range(5)):
+            assert ends.after(at) == plain(source, at), (source, at)
+
+
 def test_hosts_agree(spark):
     rows = [(k, f"http://h.org/{k}", f'<div class="side-{k}x"><p>{"s " * 5}</p></div><div class="body{k}"><p>main {k} {"w " * 40}</p></div>') for k in range(8)]
     rows.append((99, "http://h.org/99", f'<div class="side-9x"><p>{"long teaser " * 40}</p></div><div class="body9"><p>short</p></div>'))

@@ -80,3 +80,20 @@ def test_odd_tables(empty, clashing, docs):
     assert M.taken_words(empty).collect() == [] and M.mixed_texts(empty).collect() == []
     assert sorted(map(str, M.taken_words(clashing).collect())) == sorted(map(str, M.taken_words(docs).collect()))
     assert M.mixed_texts(clashing).columns == clashing.columns
+
+
+def test_one_text_under_two_sources(spark):
+    """Rows that share a doc_id and a text, but not a source, are told apart: each source comes out at its target."""
+    said = " ".join(f"w{k}" for k in range(100))
+    rows = [(1, said, "en", "A", 0), (1, said, "de", "B", 0), (2, said.upper(), "en", "B", 0)]
+    mix = M.Mix(weights=(1, 9), block_words=10, shard_slots=8)
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    want, got = defaultdict(int), defaultdict(int)
+    for r in M.taken_words(df, mix).collect():
+        want[r.source_size] += r.taken
+    texts = M.mixed_texts(df, mix).collect()
+    for r in texts:
+        got[{"A": 100, "B": 200}[r.source]] += len(WORD.findall(r.text))
+    assert got == want and {(r.source, r.lang) for r in texts if r.doc_id == 1} <= {("A", "en"), ("B", "de")}
+    again = M.mixed_texts(df.repartition(2), mix).collect()
+    assert sorted(map(str, again)) == sorted(map(str, texts))

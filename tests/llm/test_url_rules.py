@@ -45,6 +45,13 @@ def test_globs_against_regular_expressions():
     assert a.match([t.encode() for t in texts]).tolist() == want
 
 
+def test_rules_end_with_their_host():
+    a = U.Automaton((U.path_rule("com", "block"), U.path_rule("a.com", "allow"), U.Rule("g" * 9, "*a?c", "block")))
+    fits = lambda t: (k := a.match([t.encode()])[0]) >= 0 and a.rules[k].text or None
+    assert [fits(t) for t in (".com", ".b.com/x", ".a.company.org", ".a.com", ".x.a.com/", ".a.comx", ".q.org/com")] == ["com", "com", None, "a.com", "a.com", None, None]
+    assert [fits(t) for t in (".aéc", ".a漢c", ".abc", ".a😀c", ".aéé", ".ac", ".aééc")] == ["g" * 9] * 4 + [None] * 3
+
+
 def test_odd_tables(spark):
     from pyspark.sql import functions as F
 
