@@ -1,55 +1,43 @@
-"""Duplicate crystals: cheap keys first, the superposition of molecule clusters last.
+"""Duplicate crystals: lattices first, in a join over bands, and the superposition of molecule clusters last.
 
-Pairs of one formula meet in an equi-join that carries a descriptor of a few dozen numbers a structure; who differs in
-it is settled there, in generated code. Only the pairs left carry whole structures into the costly comparison.
+lattices.py says why the join misses no pair of lattices within the strain. Clusters are made once a structure; only the
+pairs that the join leaves carry them into the costly comparison.
 """
 
 from __future__ import annotations
 
-import math
-from collections import Counter
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import numerics as N
 from ..session import workspace, written
-from . import dedup, local, pairs
+from . import dedup, lattices, local, pairs
 
 
-def described(structures: DataFrame, k: int = 12) -> DataFrame:
-    """struct_id, formula (that of the least unit, so that a cell and its supercell meet), descriptor."""
-    fn = lambda r: {"formula": least_unit(r["elements"]), "descriptor": N.crystal_descriptor(*local.crystal(r), k)}
-    return local.applied(structures, fn, "formula string, descriptor array<double>")
+def alike(structures: DataFrame, strain: float = 0.1, folder: str | None = None) -> DataFrame:
+    """id1, id2, value: pairs of one formula, in any two cells, whose lattices are within a strain of each other; value is the
+    largest relative difference of lattice measures. Where structures say which of them is_new, one of a pair is."""
+    folder = folder or workspace(structures.sparkSession, "lattices")
+    return lattices.alike(written(lattices.measured(structures, folder), folder, "measures"), strain)
 
 
-def least_unit(elements: list[str]) -> str:
-    counts = Counter(elements)
-    by = math.gcd(*counts.values())
-    return " ".join(f"{e}{n // by}" for e, n in sorted(counts.items()))
+def duplicates(structures: DataFrame, strain: float = 0.1, rmsd: float | None = 0.5, nn: int = 8) -> DataFrame:
+    """op, id1, id2, value, is_match for the pairs that alike() leaves: value is the cluster displacement, and is_match whether
+    it is below rmsd. Without rmsd the lattices decide, and value is their strain.
 
-
-def alike(structures: DataFrame, tol: float = 0.1, k: int = 12, folder: str | None = None) -> DataFrame:
-    """id1, id2, value: pairs of one formula whose descriptors differ by less than tol anywhere. Where structures say which of
-    them is_new, one of a pair is."""
-    some = ["is_new"] if "is_new" in structures.columns else []
-    rows = written(described(structures, k), folder or workspace(structures.sparkSession, "descriptors"), "rows")
-    if some:
-        rows = rows.join(structures.select("struct_id", *some), "struct_id")
-    met = pairs.unordered(rows, "struct_id", ["formula"], ["descriptor", *some])
-    met = met.where("is_new1 OR is_new2") if some else met
-    apart = F.array_max(F.zip_with("descriptor1", "descriptor2", lambda a, b: F.abs(a - b)))
-    return met.withColumn("value", apart).where(F.col("value") < tol).select("id1", "id2", "value")
-
-
-def duplicates(structures: DataFrame, tol: float = 0.1, rmsd: float | None = 0.5, nn: int = 8) -> DataFrame:
-    """op, id1, id2, value, is_match for the pairs that descriptors leave: value is the cluster displacement, and is_match
-    whether it is below rmsd. Without rmsd the descriptor decides."""
-    near = alike(structures, tol)
+    Cells may be strained, permuted, skewed, shifted, or hold several primitive ones; a pair whose lattices differ by more
+    than the strain is no match, whatever its clusters are.
+    """
+    folder = workspace(structures.sparkSession, "duplicates")
+    near = alike(structures, strain, folder)
     if rmsd is None:
         return pairs.scored(near, "duplicate", F.col("value"), F.lit(True))
-    found = local.crystal_rmsds(local.paired(near.select("id1", "id2"), structures), nn, hydrogens=True)
+    near = written(near.select("id1", "id2"), folder, "near")
+    own = written(local.clusters(structures, nn, hydrogens=True), folder, "clusters")
+    met = near.join(own.select(F.col("struct_id").alias("id1"), "first"), "id1").join(own.select(F.col("struct_id").alias("id2"), "others"), "id2")
+    # What meets is few pairs, each of them long work: they are dealt anew, one after another.
+    found = local.cluster_displacements(met.repartition("id1", "id2"))
     return pairs.scored(found, "duplicate", F.col("value"), F.col("value") < rmsd)
 
 

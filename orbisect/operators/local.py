@@ -152,6 +152,27 @@ def crystal_rmsds(pairs: DataFrame, nn: int = 8, hydrogens: bool = False) -> Dat
     return applied(pairs, lambda r: {"value": N.crystal_rmsd(crystal(r, "1"), crystal(r, "2"), nn, hydrogens)}, "value double", PAIR)
 
 
+def clusters(structures: DataFrame, nn: int = 8, hydrogens: bool = False) -> DataFrame:
+    """struct_id, `first` and `others`: what cluster_displacements() compares, computed once a structure."""
+
+    def fn(r: dict) -> dict:
+        first, others = N.clusters(*crystal(r), nn, hydrogens)
+        return {"first": [m.tolist() for m in first], "others": [[m.tolist() for m in c] for c in others]}
+
+    points = "array<array<array<double>>>"
+    return applied(structures, fn, f"first {points}, others array<{points}>")
+
+
+def cluster_displacements(pairs: DataFrame) -> DataFrame:
+    """id1, id2, value of pairs with `first` of the one structure and `others` of the other."""
+
+    def fn(r: dict) -> dict:
+        mols = lambda c: [np.array([list(p) for p in m]) for m in c]
+        return {"value": N.clusters_apart(mols(r["first"]), [mols(c) for c in r["others"]])}
+
+    return applied(pairs, fn, "value double", PAIR)
+
+
 def dimer_parameters(dimers: DataFrame, mult: float = 1.2) -> DataFrame:
     """struct_id, rot1, rot2, trans of molecules of two components."""
 

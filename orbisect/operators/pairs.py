@@ -242,14 +242,16 @@ def periodic_bonds(atoms: DataFrame, lattices: DataFrame, mult: float = 1.2, ski
 def contacts(neighbours: DataFrame, molecules: DataFrame, max_ratio: float = 1.3) -> DataFrame:
     """Contacts between different molecules: neighbours (struct_id, i, j, na, nb, nc, d, element1, element2) whose distance is
     below max_ratio times the sum of contact radii, both ways, with `ratio`. molecules: struct_id, atom_idx, mol_idx, and
-    the cell sa, sb, sc that whole molecules take each atom from; a molecule's copy in another cell is another one."""
+    the cell sa, sb, sc that whole molecules take each atom from (networks.molecules()); a molecule's copy in another cell is
+    another one. Where they have a periodicity too, an endless component is one with its copies."""
     ratio = F.col("d") / (E.vdw(F.col("element1")) + E.vdw(F.col("element2")))
-    of = lambda n, k: molecules.select("struct_id", F.col("atom_idx").alias(k), *(F.col(c).alias(f"{c}{n}") for c in ("mol_idx", "sa", "sb", "sc")))
+    of = lambda n, k: molecules.select("struct_id", F.col("atom_idx").alias(k), *(F.col(c).alias(f"{c}{n}") for c in ("mol_idx", "sa", "sb", "sc", "periodicity") if c in molecules.columns))
     met = neighbours.withColumn("ratio", ratio).where(F.col("ratio") < max_ratio).join(of(1, "i"), ["struct_id", "i"]).join(of(2, "j"), ["struct_id", "j"])
     same_cell = F.lit(True)
     for c in "abc":
         same_cell = same_cell & (F.col(f"n{c}") - F.col(f"s{c}2") + F.col(f"s{c}1") == 0)
-    return met.where((F.col("mol_idx1") != F.col("mol_idx2")) | ~same_cell).select("struct_id", "i", "j", "na", "nb", "nc", "d", "ratio", "mol_idx1", "mol_idx2")
+    ends = F.col("periodicity1") == 0 if "periodicity" in molecules.columns else F.lit(True)
+    return met.where((F.col("mol_idx1") != F.col("mol_idx2")) | ends & ~same_cell).select("struct_id", "i", "j", "na", "nb", "nc", "d", "ratio", "mol_idx1", "mol_idx2")
 
 
 def closest(contact_rows: DataFrame) -> DataFrame:

@@ -30,13 +30,13 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
-    from . import nations  # noqa: F401  adds its own
+    from . import chains, nations  # noqa: F401  add their own
 
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import nations  # noqa: F401
+    from . import chains, nations  # noqa: F401
 
     return dict(SQL)
 

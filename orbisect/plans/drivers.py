@@ -14,7 +14,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import crystals, generators, graph, local, pairs, structures
+from ..operators import crystals, generators, local, networks, pairs, structures
 from ..sources import files
 from ..streaming import incremental
 
@@ -99,15 +99,17 @@ class Standardize(Driver):
 
 @dataclass(frozen=True)
 class FindMolecules(Driver):
-    """mol_idx of each atom of molecules or crystals; unique: one molecule for each formula of a structure alone."""
+    """mol_idx of each atom of molecules or crystals, the cell that its whole molecule takes it from, and along how many
+    directions the molecule is endless."""
 
     mult: float = 1.05
 
     def calc(self, rows: DataFrame) -> DataFrame:
         atoms = structures.to_atoms(rows)
-        found = pairs.periodic_bonds(atoms.join(lattices_of(rows), "struct_id", "left_semi"), lattices_of(rows), self.mult).select("struct_id", "i", "j")
-        alone = pairs.bonds(atoms.join(lattices_of(rows), "struct_id", "left_anti"), self.mult).select("struct_id", "i", "j")
-        return graph.molecules(atoms, found.unionByName(alone).distinct())
+        found = pairs.periodic_bonds(atoms.join(lattices_of(rows), "struct_id", "left_semi"), lattices_of(rows), self.mult).drop("d")
+        alone = pairs.bonds(atoms.join(lattices_of(rows), "struct_id", "left_anti"), self.mult)
+        alone = alone.select("struct_id", "i", "j", *(F.lit(0).alias(c) for c in networks.CELL))
+        return networks.molecules(atoms, found.unionByName(alone))
 
 
 @dataclass(frozen=True)
@@ -144,14 +146,14 @@ class NeighborList(Driver):
 
 @dataclass(frozen=True)
 class DuplicateCheck(Driver):
-    """Scored pairs; `both` lists each from either side."""
+    """Scored pairs of crystals whose lattices are within a strain; `both` lists each from either side."""
 
-    tol: float = 0.1
+    strain: float = 0.1
     rmsd: float = 0.5
     both: bool = False
 
     def calc(self, rows: DataFrame) -> DataFrame:
-        found = crystals.duplicates(rows, self.tol, self.rmsd)
+        found = crystals.duplicates(rows, self.strain, self.rmsd)
         return pairs.both_sides(found) if self.both else found
 
 
