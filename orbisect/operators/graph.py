@@ -63,6 +63,31 @@ def descriptors(named: DataFrame, bonds: DataFrame, shells: int = 4) -> DataFram
     return named.join(whole, ["struct_id", "atom_idx"])
 
 
+def refined(atoms: DataFrame, bonds: DataFrame, start: str = "element") -> DataFrame:
+    """atoms with `descriptor`: equal for atoms that no chain of bonds tells apart, whatever the diameter of their structure.
+
+    Each atom's colour, at first its `start`, is hashed with its neighbours' colours in order, again and again until a
+    structure has no more colours than before. Structures become one row each, so one shuffle serves all rounds, and each
+    stops on its own. The last hash is kept: it says how many neighbours of each colour an atom has, so atoms of two
+    structures have equal descriptors only if all further rounds would agree. Atoms are numbered from 0; bonds (struct_id,
+    i, j) come from both ends, and repeated ones count once.
+    """
+    near = bonds.groupBy("struct_id", F.col("i").alias("atom_idx")).agg(F.array_sort(F.collect_set("j")).alias("near"))
+    rows = atoms.select("struct_id", "atom_idx", F.coalesce(F.col(start).cast("string"), F.lit("")).alias("c")).join(near, ["struct_id", "atom_idx"], "left")
+    packed = rows.groupBy("struct_id").agg(F.array_sort(F.collect_list(F.struct("atom_idx", "c", F.coalesce("near", F.array().cast("array<int>")).alias("near")))).alias("a"))
+    first = F.transform("a", lambda a: F.md5(a["c"]))
+    state = lambda c, stable: F.struct(c.alias("c"), F.size(F.array_distinct(c)).alias("k"), stable.alias("stable"))
+
+    def turn(s: Column, _: Column) -> Column:
+        told = lambda a: F.md5(F.concat_ws("|", F.get(s["c"], a["atom_idx"]), F.array_join(F.array_sort(F.transform(a["near"], lambda j: F.get(s["c"], j))), ",")))
+        settled = lambda c: state(c, F.size(F.array_distinct(c)) == s["k"])
+        return F.when(s["stable"], s).otherwise(F.transform(F.array(F.transform("a", told)), settled)[0])
+
+    last = F.aggregate(F.sequence(F.lit(0), F.size("a")), state(first, F.lit(False)), turn)["c"]
+    found = packed.select("struct_id", F.posexplode(last).alias("atom_idx", "descriptor"))
+    return atoms.join(found, ["struct_id", "atom_idx"])
+
+
 def graph_signature(described: DataFrame) -> DataFrame:
     """struct_id and `signature`: equal for structures whose atoms have equal descriptors."""
     listed = F.array_join(F.array_sort(F.collect_list("descriptor")), ";")

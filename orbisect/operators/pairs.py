@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import elements as E
 from ..functions import geometry as G
+from ..session import workspace, written
 
 
 def unordered(rows: DataFrame, key: str, within: Sequence[str] = (), keep: Sequence[str] = ()) -> DataFrame:
@@ -201,7 +202,7 @@ def bonds(atoms: DataFrame, mult: float = 1.2, skin: float = 0.0) -> DataFrame:
     return within(rows, mult * (F.col("r1") + F.col("r2")) + 2 * skin, largest, keep=("r",), ordered=True).select("struct_id", "i", "j", "d")
 
 
-def images(atoms: DataFrame, lattices: DataFrame, radius: float) -> DataFrame:
+def images(atoms: DataFrame, lattices: DataFrame, radius: float | Column) -> DataFrame:
     """Atoms in their cell (wrapped) and all copies in neighbouring cells within the radius of the cell, with the cell's
     number na, nb, nc. How many cells that is follows from the lattice's reciprocal rows, so no atom is missed."""
     lat, rec = G.lattice_columns(), G.lattice_columns("reciprocal")
@@ -232,6 +233,51 @@ def periodic_neighbours(atoms: DataFrame, lattices: DataFrame, cutoff: float | C
     return met.withColumn("d", d).where(F.col("d") < bound).select("struct_id", "i", "j", "na", "nb", "nc", "d", *(f"{c}{n}" for c in keep for n in (1, 2)))
 
 
+def periodic_nearest(points: DataFrame, lattices: DataFrame, k: int, folder: str | None = None, most_rounds: int = 60) -> DataFrame:
+    """struct_id, i, rank, j, na, nb, nc, d: the k nearest of each point (struct_id, atom_idx, x, y, z) among all points of its
+    crystal and their images, itself left out; ties by j, then by cell. Images are those of points wrapped into the cell.
+
+    A distance join in rounds: a point is settled once k others lie within its structure's radius, as what is farther can't
+    come before them; the others go on with twice the radius. The first radius is that of a sphere that holds k points at
+    the structure's density. Exact for cells of any shape, and no round meets more than a few k images a point, but in
+    structures whose points crowd. Structures without a lattice or without volume have no rows.
+    """
+    folder = folder or workspace(points.sparkSession, "nearest")
+    flat = F.abs(G.volume(G.lattice_columns()))
+    lats = lattices.select("struct_id", "lattice", flat.alias("volume")).where("volume > 1e-9")
+    counts = points.groupBy("struct_id").agg(F.count("*").alias("n"))
+    first = F.pow(0.75 / np.pi * (k + 1) * F.col("volume") / F.col("n"), F.lit(1 / 3)) * 1.1
+    radii = written(lats.join(counts, "struct_id").select("struct_id", first.alias("radius")), folder, "radii")
+    every = points.select("struct_id", "atom_idx", "x", "y", "z")
+    left = every.join(radii, "struct_id", "left_semi").select("struct_id", F.col("atom_idx").alias("i"))
+    cell = [F.floor(F.col(c) / F.col("radius")).cast("long").alias(f"c{c}") for c in "xyz"]
+    steps = F.array(*(F.struct(*(F.lit(v).alias(f"s{n}") for n, v in zip("xyz", s, strict=True))) for s in product((-1, 0, 1), repeat=3)))
+    settled = []
+    for turn in range(most_rounds):
+        some = left.select("struct_id").distinct().join(radii, "struct_id").withColumn("radius", F.col("radius") * 2.0**turn)
+        around = images(every.join(some, "struct_id"), lats.select("struct_id", "lattice"), F.col("radius")).select("*", *cell)
+        home = around.where("na = 0 AND nb = 0 AND nc = 0").join(left.withColumnRenamed("i", "atom_idx"), ["struct_id", "atom_idx"], "left_semi")
+        a = home.select("struct_id", "radius", F.col("atom_idx").alias("i"), *(F.col(c).alias(f"{c}1") for c in "xyz"), "cx", "cy", "cz", F.explode(steps).alias("s"))
+        a = a.withColumns({f"c{c}": F.col(f"c{c}") + F.col(f"s.s{c}") for c in "xyz"}).drop("s")
+        b = around.select("struct_id", F.col("atom_idx").alias("j"), "na", "nb", "nc", *(F.col(c).alias(f"{c}2") for c in "xyz"), "cx", "cy", "cz")
+        d = G.distance([F.col(f"{c}1") for c in "xyz"], [F.col(f"{c}2") for c in "xyz"])
+        met = a.join(b, ["struct_id", "cx", "cy", "cz"]).where("NOT (i = j AND na = 0 AND nb = 0 AND nc = 0)").withColumn("d", d).where("d < radius")
+        own = Window.partitionBy("struct_id", "i")
+        # Equal distances that rounding tells apart are equal.
+        near = met.withColumn("rank", F.row_number().over(own.orderBy(F.round("d", 9), "j", "na", "nb", "nc"))).where(F.col("rank") <= k)
+        found = near.withColumn("most", F.max("rank").over(own)).where(F.col("most") == k)
+        settled.append(written(found.select("struct_id", "i", "rank", "j", "na", "nb", "nc", "d"), folder, f"settled-{turn}"))
+        left = written(left.join(settled[-1].where(F.col("rank") == k).select("struct_id", "i"), ["struct_id", "i"], "left_anti"), folder, f"left-{turn}")
+        if left.isEmpty():
+            break
+    else:
+        raise RuntimeError(f"{most_rounds} rounds don't settle all points")
+    out = settled[0]
+    for more in settled[1:]:
+        out = out.unionByName(more)
+    return out
+
+
 def periodic_bonds(atoms: DataFrame, lattices: DataFrame, mult: float = 1.2, skin: float = 0.0) -> DataFrame:
     rows = atoms.withColumn("r", E.covalent(F.col("element")))
     largest = mult * 2 * max(E.COVALENT.values()) + 2 * skin

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import elements as E
-from ..operators import crystals, networks, pairs
+from ..operators import crystals, graph, networks, pairs
 from ..session import table
 from .catalogue import query
 
@@ -164,3 +164,60 @@ def duplicate_crystals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Crystals that are one and the same but for a strain of 1 %, their cell and their origin."""
     found = crystals.duplicates(box_crystals(spark, sf_dir), strain=0.03, rmsd=0.1)
     return found.where("is_match").select("id1", "id2")
+
+
+def molecule_centres(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The middle of each molecule of chain_crystals(), and the lattices."""
+    atoms, lattices = chain_crystals(spark, sf_dir)
+    found = networks.molecules(atoms, pairs.periodic_bonds(atoms, lattices, 1.2))
+    put = networks.whole(atoms, lattices, found).join(found.select("struct_id", "atom_idx", "mol_idx"), ["struct_id", "atom_idx"])
+    return put.groupBy("struct_id", F.col("mol_idx").alias("atom_idx")).agg(*(F.avg(c).alias(c) for c in "xyz")), lattices
+
+
+@query(f"""WITH RECURSIVE {chains(1)}, {SQL_WHOLE},
+centres AS (
+  SELECT p.struct_id, mol_idx, any_value(la) AS la, any_value(lean) AS lean, any_value(lb) AS lb, any_value(lc) AS lc, avg(hx + sa * la + sb * lean) AS x, avg(hy + sb * lb) AS y, avg(hz + sc * lc) AS z
+  FROM put p JOIN mols m ON p.struct_id = m.struct_id AND p.atom_idx = m.atom_idx GROUP BY ALL),
+far AS (SELECT unnest(range(-7, 8)) AS n),
+others AS (SELECT struct_id, mol_idx, x + na.n * la + nb.n * lean AS x, y + nb.n * lb AS y, z + nc.n * lc AS z, na.n = 0 AND nb.n = 0 AND nc.n = 0 AS home FROM centres, far na, far nb, far nc),
+ranked AS (
+  SELECT c.struct_id, c.mol_idx AS i, sqrt((c.x - o.x) * (c.x - o.x) + (c.y - o.y) * (c.y - o.y) + (c.z - o.z) * (c.z - o.z)) AS d,
+         row_number() OVER (PARTITION BY c.struct_id, c.mol_idx ORDER BY (c.x - o.x) * (c.x - o.x) + (c.y - o.y) * (c.y - o.y) + (c.z - o.z) * (c.z - o.z)) AS rank
+  FROM centres c JOIN others o ON c.struct_id = o.struct_id AND NOT (o.home AND c.mol_idx = o.mol_idx))
+SELECT struct_id, i, rank::INTEGER AS rank, round(d, 6) AS d FROM ranked WHERE rank <= 14""")
+def nearest_molecules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 14 nearest molecules of each, found with a radius that grows where it is too small."""
+    centres, lattices = molecule_centres(spark, sf_dir)
+    return pairs.periodic_nearest(centres, lattices, 14).select("struct_id", "i", "rank", F.round("d", 6).alias("d"))
+
+
+def sql_colours(rounds: int = 10) -> str:
+    """Rounds of refinement over all structures at once, each colour the rank of what it is made from."""
+    steps = ["colours0 AS (SELECT struct_id, atom_idx, dense_rank() OVER (ORDER BY element) AS c FROM atoms)"]
+    for k in range(rounds):
+        steps.append(f"""made{k} AS (
+  SELECT a.struct_id, a.atom_idx, any_value(a.c) AS c, coalesce(list(b.c ORDER BY b.c) FILTER (b.c IS NOT NULL), []) AS near
+  FROM colours{k} a LEFT JOIN links l ON l.struct_id = a.struct_id AND l.i = a.atom_idx LEFT JOIN colours{k} b ON b.struct_id = a.struct_id AND b.atom_idx = l.j GROUP BY a.struct_id, a.atom_idx),
+colours{k + 1} AS MATERIALIZED (SELECT struct_id, atom_idx, dense_rank() OVER (ORDER BY c, near) AS c FROM made{k})""")
+    return ",\n".join([f"{chains(1)}, links AS (SELECT DISTINCT struct_id, i, j FROM bonds)", *steps, f"told AS (SELECT * FROM colours{rounds})"])
+
+
+def coloured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    atoms, lattices = chain_crystals(spark, sf_dir)
+    return graph.refined(atoms, pairs.periodic_bonds(atoms, lattices, 1.2))
+
+
+@query(f"WITH {sql_colours()} SELECT struct_id, atom_idx, (min(atom_idx) OVER (PARTITION BY struct_id, c))::INTEGER AS first FROM told")
+def refined_atoms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Atoms of one kind, as the first of their kind in each structure."""
+    first = F.min("atom_idx").over(Window.partitionBy("struct_id", "descriptor"))
+    return coloured(spark, sf_dir).select("struct_id", "atom_idx", first.alias("first"))
+
+
+@query(f"""WITH {sql_colours()}, signs AS (SELECT struct_id, list(c ORDER BY c) AS sign FROM told GROUP BY struct_id)
+SELECT struct_id, min(struct_id) OVER (PARTITION BY sign) AS first, count(*) OVER (PARTITION BY sign) AS n FROM signs""")
+def equal_graphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Structures whose bonds can't be told apart, as the first of each kind."""
+    signs = graph.graph_signature(coloured(spark, sf_dir))
+    by = Window.partitionBy("signature")
+    return signs.select("struct_id", F.min("struct_id").over(by).alias("first"), F.count("*").over(by).alias("n"))
