@@ -98,3 +98,32 @@ def balanced(jobs: DataFrame, cost: str, parts: int, key: str) -> DataFrame:
     ranked = jobs.withColumn("__k", own).join(before, cost).withColumn("rank", F.col("before") + F.col("__k"))
     turn, place = F.floor(F.col("rank") / parts), F.col("rank") % parts
     return ranked.withColumn("part", F.when(turn % 2 == 0, place).otherwise(parts - 1 - place).cast("int")).drop("__k", "before")
+
+
+def least_loaded(jobs: DataFrame, cost: str, bins: int, key: str, blocks: int = 64, block: Column | None = None, folder: str | None = None) -> DataFrame:
+    """jobs with `part`: bins of which none holds more than the mean cost and one job; a job above the mean has a bin of its own.
+
+    Jobs lie in a row, by block, then key, each as long as its cost, and the row is cut at multiples of the mean: a job goes
+    where it begins. Places come from prefix sums in two levels: one over the blocks' sums, of which there are `blocks`, and
+    one within each block. Large jobs, at most `bins`, are set apart first, and the others share the bins that are left.
+    Null costs count as 0; repeated rows are jobs each; block defaults to a hash of the key.
+    """
+    folder = folder or workspace(jobs.sparkSession, "bins")
+    c = F.coalesce(F.col(cost).cast("decimal(38,6)"), F.lit(0))
+    dealt = F.pmod(F.xxhash64(key), F.lit(blocks)) if block is None else block
+    rows = written(jobs.select(F.struct("*").alias("job"), F.col(key).alias("k"), c.alias("c"), dealt.alias("b")), folder, "jobs")
+    total = rows.agg(F.sum("c")).first()[0] or 0
+    large = rows.where((F.col("c") * bins > F.lit(total)) & (F.col("c") > 0))
+    # At most as many as bins, as each is above the mean.
+    apart = written(large.withColumn("part", F.row_number().over(Window.orderBy(F.col("c").desc(), "k", F.xxhash64("job"))) - 1), folder, "large")
+    taken = apart.agg(F.count("*").alias("n"), F.sum("c").alias("c")).first()
+    rest, left = rows.where(~((F.col("c") * bins > F.lit(total)) & (F.col("c") > 0))), max(1, bins - taken["n"])
+    sums = rest.groupBy("b").agg(F.sum("c").alias("s"))
+    bases = sums.select(F.col("b").alias("of"), (F.sum("s").over(Window.orderBy("b")) - F.col("s")).alias("base"))
+    own = Window.partitionBy("b").orderBy("k", F.xxhash64("job"), "c").rowsBetween(Window.unboundedPreceding, -1)
+    placed = rest.join(bases, F.col("b").eqNullSafe(F.col("of"))).withColumn("start", F.col("base") + F.coalesce(F.sum("c").over(own), F.lit(0)))
+    share = total - (taken["c"] or 0)
+    at = F.floor(F.col("start") * left / F.lit(share)) if share else F.lit(0)
+    placed = placed.withColumn("part", (F.least(at, F.lit(left - 1)) + min(taken["n"], bins - 1)).cast("int"))
+    out = placed.select("job", "part").unionByName(apart.select("job", F.col("part").cast("int").alias("part")))
+    return out.select(*(F.col("job").getField(c).alias(c) for c in jobs.columns if c != "part"), "part")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import elements as E
-from ..operators import crystals, graph, networks, pairs
+from ..operators import crystals, dedup, graph, networks, pairs
 from ..session import table
 from .catalogue import query
 
@@ -221,3 +221,20 @@ def equal_graphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     signs = graph.graph_signature(coloured(spark, sf_dir))
     by = Window.partitionBy("signature")
     return signs.select("struct_id", F.min("struct_id").over(by).alias("first"), F.count("*").over(by).alias("n"))
+
+
+#: A document costs its length, and one of each hundred ten thousand times as much.
+COST = "n_chars * (CASE WHEN doc_id % 100 = 0 THEN 10000 ELSE 1 END)"
+
+
+@query(f"""WITH jobs AS (SELECT doc_id, ({COST})::HUGEINT AS cost, doc_id % 64 AS b, row_number() OVER () AS r FROM documents),
+whole AS (SELECT sum(cost) AS total FROM jobs),
+large AS (SELECT doc_id, row_number() OVER (ORDER BY cost DESC, doc_id) - 1 AS part, cost FROM jobs, whole WHERE cost * 16 > total),
+taken AS (SELECT count(*) AS n, coalesce(sum(cost), 0) AS c FROM large),
+rest AS (SELECT doc_id, cost, sum(cost) OVER (ORDER BY b, doc_id, r) - cost AS start FROM jobs, whole WHERE NOT cost * 16 > total)
+SELECT doc_id, part::INTEGER AS part FROM large UNION ALL
+SELECT doc_id, (least((start * (16 - n)) // (total - c), 15 - n) + n)::INTEGER AS part FROM rest, whole, taken""")
+def cost_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in 16 bins whose costs are even, though costs differ by a factor of ten thousand."""
+    jobs = table(spark, sf_dir, "documents").select("doc_id", F.expr(COST).alias("cost"))
+    return dedup.least_loaded(jobs, "cost", 16, "doc_id", block=F.col("doc_id") % 64).select("doc_id", "part")
