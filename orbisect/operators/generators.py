@@ -141,3 +141,33 @@ def unit_cell_corners(lattices: DataFrame) -> DataFrame:
     rows = lattices.select("struct_id", "lattice", bits)
     f = [F.shiftright("corner", k).bitwiseAND(F.lit(1)).cast("double") for k in range(3)]
     return rows.withColumns(dict(zip("xyz", G.to_cartesian(f, G.lattice_columns()), strict=True))).drop("lattice")
+
+
+def times_quaternion(p: list[Column], q: list[Column]) -> list[Column]:
+    a, b, c, d = p
+    w, x, y, z = q
+    return [a * w - b * x - c * y - d * z, a * x + b * w + c * z - d * y, a * y - b * z + c * w + d * x, a * z + b * y - c * x + d * w]
+
+
+def unique_angles(symmetries: DataFrame, spacing: int = 15, max_angle: int = 360) -> DataFrame:
+    """struct_id, a, b, c: angles (degrees about x, then y, then z) of a grid, one for each orientation that a molecule's own
+    rotations don't take into another; of those that do, the first. symmetries: struct_id and `ops`, unit quaternions of a
+    group (local.rotations()); without any, angles of the same orientation alone are one.
+
+    An orientation times each rotation is its orbit, and the least of it, either sign of a quaternion being one rotation,
+    its key, so one aggregation finds the orbits. Keys are rounded to 10^-4.
+    """
+    angles = F.sequence(F.lit(0), F.lit(max_angle - 1), F.lit(spacing))
+    rows = symmetries.select("struct_id", "ops")
+    for n in "abc":
+        rows = rows.withColumn(n, F.explode(angles))
+    half = lambda n: (F.cos(F.radians(F.col(n)) / 2), F.sin(F.radians(F.col(n)) / 2))
+    zero = F.lit(0.0)
+    (ca, sa), (cb, sb), (cc, sc) = map(half, "abc")
+    turned = times_quaternion([cc, zero, zero, sc], times_quaternion([cb, zero, sb, zero], [ca, sa, zero, zero]))
+    rows = rows.withColumn("q", F.array(*turned))
+    whole = F.when(F.size(F.coalesce("ops", F.array().cast("array<array<double>>"))) > 0, F.col("ops")).otherwise(F.array(F.array(F.lit(1.0), zero, zero, zero)))
+    orbit = F.transform(whole, lambda s: F.transform(F.array(*times_quaternion([F.col("q")[k] for k in range(4)], [s[k] for k in range(4)])), lambda x: F.round(x * 10000).cast("int")))
+    positive = F.transform(orbit, lambda k: F.when(F.filter(k, lambda x: x != 0)[0] < 0, F.transform(k, lambda x: -x)).otherwise(k))
+    found = rows.groupBy("struct_id", F.array_min(positive).alias("key")).agg(F.min(F.struct("a", "b", "c")).alias("m"))
+    return found.select("struct_id", "m.a", "m.b", "m.c")

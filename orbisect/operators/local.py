@@ -197,10 +197,10 @@ def matched_orders(pairs: DataFrame, mult: float = 1.2) -> DataFrame:
     return applied(pairs, fn, "order array<int>", PAIR)
 
 
-def unique_angles(structures: DataFrame, spacing: int = 60, max_angle: int = 360, max_rot: int = 4) -> DataFrame:
-    """A row for each rotation of a grid that a molecule's symmetry doesn't repeat."""
-    fn = lambda r: [dict(zip("abc", a, strict=True)) for a in N.unique_angles(*molecule(r), spacing, max_angle, max_rot)]
-    return applied(structures, fn, "a int, b int, c int")
+def rotations(structures: DataFrame, max_rot: int = 4, tol: float = 0.1) -> DataFrame:
+    """struct_id and `ops`: the rotations of a molecule in its principal frame that leave it as it is, as quaternions."""
+    fn = lambda r: {"ops": [N.quaternion(op) for op in N.rotation_symmetry(*molecule(r), max_rot, tol)]}
+    return applied(structures, fn, "ops array<array<double>>")
 
 
 def residues(structures: DataFrame, n: int) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import elements as E
-from ..operators import crystals, dedup, graph, networks, pairs
+from ..operators import crystals, dedup, generators, graph, networks, pairs
 from ..session import table
 from .catalogue import query
 
@@ -238,3 +238,30 @@ def cost_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents in 16 bins whose costs are even, though costs differ by a factor of ten thousand."""
     jobs = table(spark, sf_dir, "documents").select("doc_id", F.expr(COST).alias("cost"))
     return dedup.least_loaded(jobs, "cost", 16, "doc_id", block=F.col("doc_id") % 64).select("doc_id", "part")
+
+
+#: Groups of 1, 2, 4 and 12 rotations: none, about z, about all axes, and those of a tetrahedron.
+GROUPS = [[(1.0, 0.0, 0.0, 0.0)]]
+GROUPS.append(GROUPS[0] + [(0.0, 0.0, 0.0, 1.0)])
+GROUPS.append(GROUPS[1] + [(0.0, 1.0, 0.0, 0.0), (0.0, 0.0, 1.0, 0.0)])
+GROUPS.append(GROUPS[2] + [(0.5, x, y, z) for x in (0.5, -0.5) for y in (0.5, -0.5) for z in (0.5, -0.5)])
+
+
+@query("""WITH steps AS (SELECT unnest(range(0, 360, 45)) AS t),
+grid AS (
+  SELECT a.t AS a, b.t AS b, c.t AS c, cos(radians(a.t)) AS ca, sin(radians(a.t)) AS sa, cos(radians(b.t)) AS cb, sin(radians(b.t)) AS sb, cos(radians(c.t)) AS cc, sin(radians(c.t)) AS sc
+  FROM steps a, steps b, steps c),
+turned AS (
+  SELECT a, b, c, [[cc * cb, sc * cb, -sb], [cc * sb * sa - sc * ca, sc * sb * sa + cc * ca, cb * sa], [cc * sb * ca + sc * sa, sc * sb * ca - cc * sa, cb * ca]] AS cols FROM grid),
+ops AS (SELECT g, p, x, y, x * y AS z FROM (SELECT unnest(range(0, 4)) AS g), (SELECT unnest(range(0, 3)) AS p), (SELECT unnest([1, -1]) AS x), (SELECT unnest([1, -1]) AS y)
+  WHERE (p = 0 OR g = 3) AND (g <> 0 OR x = 1 AND y = 1) AND (g <> 1 OR x = y)),
+orbits AS (
+  SELECT g, a, b, c, min(list_transform(list_concat(list_transform(cols[p + 1], lambda v: v * x), list_transform(cols[(p + 1) % 3 + 1], lambda v: v * y), list_transform(cols[(p + 2) % 3 + 1], lambda v: v * z)), lambda v: round(v, 4) + 0.0)) AS k
+  FROM turned, ops GROUP BY ALL),
+firsts AS (SELECT g, min([a, b, c]) AS m FROM orbits GROUP BY g, k)
+SELECT s_suppkey::VARCHAR AS struct_id, m[1]::INTEGER AS a, m[2]::INTEGER AS b, m[3]::INTEGER AS c FROM supplier JOIN firsts ON g = s_suppkey % 4""")
+def unique_orientations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Angles of a grid less what each supplier's symmetry makes equal: groups of 1, 2, 4 and 12 rotations, by its key."""
+    groups = F.array(*(F.array(*(F.array(*(F.lit(float(x)) for x in q)) for q in g)) for g in GROUPS))
+    own = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("struct_id"), F.get(groups, (F.col("s_suppkey") % 4).cast("int")).alias("ops"))
+    return generators.unique_angles(own, 45)

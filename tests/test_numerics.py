@@ -91,7 +91,11 @@ def test_symmetry_of_water():
     geo = np.array([[0, 0, 0], [0.757, 0.586, 0], [-0.757, 0.586, 0]])
     ops = N.symmetry(geo, ["O", "H", "H"], 4, 0.1)
     assert len(ops) == 4 and all(abs(abs(np.linalg.det(o)) - 1) < 1e-3 for o in ops)
-    assert len(N.unique_angles(geo, ["O", "H", "H"], 90, 360, 4)) < 64
+    turns = N.rotation_symmetry(geo, ["O", "H", "H"], 4, 0.1)
+    for op in turns:
+        w, x, y, z = N.quaternion(op)
+        back = [[1 - 2 * (y * y + z * z), 2 * (x * y - w * z), 2 * (x * z + w * y)], [2 * (x * y + w * z), 1 - 2 * (x * x + z * z), 2 * (y * z - w * x)], [2 * (x * z - w * y), 2 * (y * z + w * x), 1 - 2 * (x * x + y * y)]]
+        assert w >= 0 and np.abs(np.array(back) - op).max() < 1e-6
 
 
 def test_dimer_round_trip():
