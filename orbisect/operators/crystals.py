@@ -23,8 +23,8 @@ def alike(structures: DataFrame, strain: float = 0.1, folder: str | None = None)
 
 
 def duplicates(structures: DataFrame, strain: float = 0.1, rmsd: float | None = 0.5, nn: int = 8) -> DataFrame:
-    """op, id1, id2, value, is_match for the pairs that alike() leaves: value is the cluster displacement, and is_match whether
-    it is below rmsd. Without rmsd the lattices decide, and value is their strain.
+    """op, id1, id2, value, is_match for the pairs that alike() leaves: is_match says whether the cluster displacement is below
+    rmsd, and value is the displacement of those where it is. Without rmsd the lattices decide, and value is their strain.
 
     Cells may be strained, permuted, skewed, shifted, or hold several primitive ones; a pair whose lattices differ by more
     than the strain is no match, whatever its clusters are.
@@ -37,8 +37,8 @@ def duplicates(structures: DataFrame, strain: float = 0.1, rmsd: float | None =
     own = written(local.clusters(structures, nn, hydrogens=True), folder, "clusters")
     met = near.join(own.select(F.col("struct_id").alias("id1"), "first"), "id1").join(own.select(F.col("struct_id").alias("id2"), "others"), "id2")
     # What meets is few pairs, each of them long work: they are dealt anew, one after another.
-    found = local.cluster_displacements(met.repartition("id1", "id2"))
-    return pairs.scored(found, "duplicate", F.col("value"), F.col("value") < rmsd)
+    found = local.cluster_displacements(met.repartition("id1", "id2"), rmsd)
+    return pairs.scored(found, "duplicate", F.when(F.col("value") < rmsd, F.col("value")), F.col("value") < rmsd)
 
 
 def unique(structures: DataFrame, order: str = "struct_id", keep_single: bool = True, compare: Callable[[DataFrame], DataFrame] = duplicates) -> DataFrame:

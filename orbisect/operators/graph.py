@@ -7,22 +7,79 @@ from pyspark.sql import functions as F
 
 from ..functions import elements as E
 from ..functions import geometry as G
-from ..session import workspace
+from ..session import workspace, written
 from .components import connected
 from .pairs import within
 from .structures import formulas
 
 
-def molecules(atoms: DataFrame, bonds: DataFrame, folder: str | None = None) -> DataFrame:
-    """struct_id, atom_idx, mol_idx: components over bonds, numbered by their least atom. Any size of component; for
-    structures that fit in a task's memory, numerics.molecules_local() needs no rounds."""
+def packed(atoms: DataFrame, bonds: DataFrame, repeats: bool = False) -> DataFrame:
+    """struct_id and `a`, its atoms in order: atom_idx, near (their bonded atoms in order, each once, or as often as bonds say)
+    and r (their row). Where atoms aren't numbered from 0, atom_idx and near are their places instead. Atoms and bonds are
+    dealt once, by struct_id, which serves both aggregations."""
+    gathered = F.collect_list("j") if repeats else F.collect_set("j")
+    rows = atoms.select("struct_id", "atom_idx", F.struct("*").alias("r"), F.lit(None).cast("int").alias("j"))
+    links = bonds.select("struct_id", F.col("i").cast("int").alias("atom_idx"), F.lit(None).cast(rows.schema["r"].dataType).alias("r"), F.col("j").cast("int").alias("j"))
+    dealt = rows.unionByName(links).repartition("struct_id")
+    each = dealt.groupBy("struct_id", "atom_idx").agg(F.first("r", ignorenulls=True).alias("r"), F.array_sort(gathered).alias("near")).where("r IS NOT NULL")
+    listed = F.sort_array(F.collect_list(F.struct("atom_idx", "near", "r"))) if orderable(rows) else F.array_sort(F.collect_list(F.struct("atom_idx", "near", "r")), lambda x, y: F.when(x["atom_idx"] < y["atom_idx"], -1).when(x["atom_idx"] > y["atom_idx"], 1).otherwise(0))
+    out = each.groupBy("struct_id").agg(listed.alias("a"))
+    dense = (F.col("a")[0]["atom_idx"] == 0) & (F.element_at("a", -1)["atom_idx"] == F.size("a") - 1)
+    place = lambda j: (F.array_position("a.atom_idx", j) - 1).cast("int")
+    placed = F.transform("a", lambda x, k: F.struct(k.alias("atom_idx"), F.transform(x["near"], place).alias("near"), x["r"].alias("r")))
+    return out.withColumn("a", F.when(dense, F.col("a")).otherwise(placed))
+
+
+def orderable(rows: DataFrame) -> bool:
+    return "map<" not in rows.schema["r"].dataType.simpleString() and "variant" not in rows.schema["r"].dataType.simpleString()
+
+
+def unpacked(rows: DataFrame, columns: list[str], **values: Column) -> DataFrame:
+    """The atoms of packed() rows again, with a column for each array of values that has one for each atom."""
+    names = [c for c in columns if c not in values]
+    both = rows.select(F.explode(F.arrays_zip(F.col("a.r").alias("r"), *(v.alias(k) for k, v in values.items()))).alias("x"))
+    return both.select(*(F.col("x.r").getField(c).alias(c) for c in names), *(F.col(f"x.{k}").alias(k) for k in values))
+
+
+#: Atoms of a structure that one row works through; larger ones go in rounds over links.
+ROW = 100_000
+
+
+def molecules(atoms: DataFrame, bonds: DataFrame, folder: str | None = None, most: int = ROW) -> DataFrame:
+    """struct_id, atom_idx, mol_idx: components over bonds, numbered by their least atom.
+
+    Bonds never leave a structure, so one of up to `most` atoms, numbered from 0, is a row: each atom takes the least
+    label of it and its neighbours, then that label's own, until nothing changes. Others, of any size, go in rounds of
+    stars over all links. Bonds may come from one end or both.
+    """
     folder = folder or workspace(atoms.sparkSession, "molecules")
+    every = atoms.select("struct_id", "atom_idx")
+    sizes = every.groupBy("struct_id").agg(F.count("*").alias("n"), F.min("atom_idx").alias("low"), F.max("atom_idx").alias("high"))
+    odd = written(sizes.where((F.col("n") > most) | (F.col("low") != 0) | (F.col("high") != F.col("n") - 1)).select("struct_id"), folder, "odd")
+    both = bonds.select("struct_id", "i", "j").unionByName(bonds.select("struct_id", F.col("j").alias("i"), F.col("i").alias("j")))
+    some = not odd.isEmpty()
+    own = [x.join(odd, "struct_id", "left_anti") if some else x for x in (every, both)]
+
+    def turn(s: Column, _: Column) -> Column:
+        least = lambda p: F.transform("a", lambda x: F.least(F.get(p, x["atom_idx"]), F.coalesce(F.array_min(F.transform(x["near"], lambda j: F.get(p, j))), F.get(p, x["atom_idx"]))))
+        jump = lambda p: F.transform(p, lambda x: F.get(p, x))
+        bound = lambda v, use: F.transform(F.array(v), use)[0]
+        settled = lambda p: F.struct(p.alias("p"), (p == s["p"]).alias("stable"))
+        return F.when(s["stable"], s).otherwise(bound(bound(least(s["p"]), jump), settled))
+
+    rows = packed(*own)
+    roots = F.aggregate(F.sequence(F.lit(0), F.size("a")), F.struct(F.transform("a", lambda x: x["atom_idx"]).alias("p"), F.lit(False).alias("stable")), turn)["p"]
+    rows = rows.withColumn("p", roots).withColumn("heads", F.array_sort(F.array_distinct("p")))
+    out = unpacked(rows, ["struct_id", "atom_idx"], mol_idx=F.transform("p", lambda r: (F.array_position("heads", r) - 1).cast("int")))
+    if not some:
+        return out
     node = lambda i: F.struct("struct_id", F.col(i).alias("atom_idx"))
-    roots = connected(bonds.select(node("i").alias("a"), node("j").alias("b")), folder)
-    of = roots.select("node.struct_id", "node.atom_idx", F.col("root.atom_idx").alias("root"))
-    named = atoms.select("struct_id", "atom_idx").join(of, ["struct_id", "atom_idx"], "left").withColumn("root", F.coalesce("root", "atom_idx"))
+    links = bonds.join(odd, "struct_id", "left_semi")
+    found = connected(links.select(node("i").alias("a"), node("j").alias("b")), folder)
+    of = found.select("node.struct_id", "node.atom_idx", F.col("root.atom_idx").alias("root"))
+    named = every.join(odd, "struct_id", "left_semi").join(of, ["struct_id", "atom_idx"], "left").withColumn("root", F.coalesce("root", "atom_idx"))
     number = F.dense_rank().over(Window.partitionBy("struct_id").orderBy("root")) - 1
-    return named.select("struct_id", "atom_idx", number.alias("mol_idx"))
+    return out.unionByName(named.select("struct_id", "atom_idx", number.alias("mol_idx")))
 
 
 def neighbourhoods(atoms: DataFrame, bonds: DataFrame) -> DataFrame:
@@ -48,19 +105,21 @@ def fragment_signature(named: DataFrame) -> DataFrame:
 
 def descriptors(named: DataFrame, bonds: DataFrame, shells: int = 4) -> DataFrame:
     """named with `descriptor`: neighbourhoods of the atom, of its bonded atoms, of those two bonds away, and so on, each
-    shell in order. Shells beyond the molecule are empty; a shell is one join, so `shells` joins for any size."""
-    seen = named.select("struct_id", F.col("atom_idx").alias("i"), F.col("atom_idx").alias("j"), F.lit(0).alias("hop"))
-    front = seen
-    step = bonds.select("struct_id", F.col("i").alias("j"), F.col("j").alias("k"))
-    for hop in range(1, shells):
-        grown = front.join(step, ["struct_id", "j"]).select("struct_id", "i", F.col("k").alias("j")).distinct()
-        front = grown.join(seen.select("struct_id", "i", "j"), ["struct_id", "i", "j"], "left_anti").withColumn("hop", F.lit(hop))
-        seen = seen.unionByName(front)
-    words = named.select("struct_id", F.col("atom_idx").alias("j"), "neighbourhood")
-    by_shell = seen.join(words, ["struct_id", "j"]).groupBy("struct_id", "i", "hop").agg(F.array_join(F.array_sort(F.collect_list("neighbourhood")), "").alias("w"))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("hop", "w"))), lambda p: p["w"]), "|")
-    whole = by_shell.groupBy("struct_id", F.col("i").alias("atom_idx")).agg(text.alias("descriptor"))
-    return named.join(whole, ["struct_id", "atom_idx"])
+    shell in order. Shells beyond the molecule are empty. A structure is one row, in which each atom's shells grow, so one
+    shuffle serves any number of them."""
+
+    def shell(s: Column, _: Column) -> Column:
+        reached = F.array_except(F.array_distinct(F.flatten(F.transform(s["front"], lambda j: F.get("a", j)["near"]))), s["seen"])
+        said = lambda f: F.array_join(F.array_sort(F.transform(f, lambda j: F.get("a", j)["r"]["neighbourhood"])), "")
+        grown = lambda f: F.struct(f.alias("front"), F.concat(s["seen"], f).alias("seen"), F.when(F.size(f) > 0, F.concat(s["w"], F.array(said(f)))).otherwise(s["w"]).alias("w"))
+        return F.transform(F.array(reached), grown)[0]
+
+    def told(x: Column) -> Column:
+        own = F.array(x["atom_idx"])
+        start = F.struct(own.alias("front"), own.alias("seen"), F.array(x["r"]["neighbourhood"]).alias("w"))
+        return F.array_join(F.aggregate(F.sequence(F.lit(1), F.lit(shells - 1)), start, shell)["w"], "|") if shells > 1 else x["r"]["neighbourhood"]
+
+    return unpacked(packed(named, bonds), named.columns, descriptor=F.transform("a", told))
 
 
 def refined(atoms: DataFrame, bonds: DataFrame, start: str = "element") -> DataFrame:
@@ -69,13 +128,11 @@ def refined(atoms: DataFrame, bonds: DataFrame, start: str = "element") -> DataF
     Each atom's colour, at first its `start`, is hashed with its neighbours' colours in order, again and again until a
     structure has no more colours than before. Structures become one row each, so one shuffle serves all rounds, and each
     stops on its own. The last hash is kept: it says how many neighbours of each colour an atom has, so atoms of two
-    structures have equal descriptors only if all further rounds would agree. Atoms are numbered from 0; bonds (struct_id,
-    i, j) come from both ends, and repeated ones count once.
+    structures have equal descriptors only if all further rounds would agree. Bonds (struct_id, i, j) come from both ends,
+    and repeated ones count once.
     """
-    near = bonds.groupBy("struct_id", F.col("i").alias("atom_idx")).agg(F.array_sort(F.collect_set("j")).alias("near"))
-    rows = atoms.select("struct_id", "atom_idx", F.coalesce(F.col(start).cast("string"), F.lit("")).alias("c")).join(near, ["struct_id", "atom_idx"], "left")
-    packed = rows.groupBy("struct_id").agg(F.array_sort(F.collect_list(F.struct("atom_idx", "c", F.coalesce("near", F.array().cast("array<int>")).alias("near")))).alias("a"))
-    first = F.transform("a", lambda a: F.md5(a["c"]))
+    rows = packed(atoms, bonds)
+    first = F.transform("a", lambda a: F.md5(F.coalesce(a["r"][start].cast("string"), F.lit(""))))
     state = lambda c, stable: F.struct(c.alias("c"), F.size(F.array_distinct(c)).alias("k"), stable.alias("stable"))
 
     def turn(s: Column, _: Column) -> Column:
@@ -84,8 +141,7 @@ def refined(atoms: DataFrame, bonds: DataFrame, start: str = "element") -> DataF
         return F.when(s["stable"], s).otherwise(F.transform(F.array(F.transform("a", told)), settled)[0])
 
     last = F.aggregate(F.sequence(F.lit(0), F.size("a")), state(first, F.lit(False)), turn)["c"]
-    found = packed.select("struct_id", F.posexplode(last).alias("atom_idx", "descriptor"))
-    return atoms.join(found, ["struct_id", "atom_idx"])
+    return unpacked(rows, atoms.columns, descriptor=last)
 
 
 def graph_signature(described: DataFrame) -> DataFrame:

@@ -119,9 +119,10 @@ def nearest_zero(f: Column) -> Column:
 
 def with_reduced(rows: DataFrame, column: str, folder: str, name: str) -> DataFrame:
     """rows, written, with the superbase `column` reduced in as many passes as its worst cell needs."""
+    less, done = reduced(F.col(column)), is_reduced(F.col(column))  # built once: they are long
     for k in range(1000):
-        rows = written(rows.withColumn(column, reduced(F.col(column))), folder, f"{name}-{k}")
-        if rows.where(~is_reduced(F.col(column))).isEmpty():
+        rows = written(rows.withColumn(column, less), folder, f"{name}-{k}")
+        if rows.where(~done).isEmpty():
             return rows
     raise RuntimeError("a lattice has no reduced cell")
 
@@ -158,7 +159,7 @@ def primitive(structures: DataFrame, folder: str, tolerance: float = 0.3) -> Dat
     order = F.size("found") + 1
     rows = rows.withColumn("found", F.array_distinct(F.transform("found", lambda t: F.transform(t, lambda x: F.round(x * order) / order))))
     zero = F.array(F.array(F.lit(0.0), F.lit(0.0), F.lit(0.0)))
-    shifts = F.array(*(F.array(*(F.lit(float(x)) for x in n)) for n in product((-2, -1, 0, 1, 2), repeat=3)))
+    shifts = F.expr(f"array({', '.join(f'array({a}D, {b}D, {c}D)' for a, b, c in product((-2, -1, 0, 1, 2), repeat=3))})")
     every = F.flatten(F.transform(F.concat(zero, F.col("found")), lambda t: F.transform(shifts, lambda n: combined(F.zip_with(t, n, lambda x, y: x + y), F.col("cell")))))
     listed = F.array_sort(F.filter(F.transform(every, lambda v: F.struct(dot(v, v).alias("l"), v.alias("v"))), lambda x: x["l"] > 1e-6))
     basis = F.when(F.size("found") == 0, F.col("cell")).otherwise(F.transform(bound(listed, independent), lambda x: x["v"]))

@@ -163,12 +163,13 @@ def clusters(structures: DataFrame, nn: int = 8, hydrogens: bool = False) -> Dat
     return applied(structures, fn, f"first {points}, others array<{points}>")
 
 
-def cluster_displacements(pairs: DataFrame) -> DataFrame:
-    """id1, id2, value of pairs with `first` of the one structure and `others` of the other."""
+def cluster_displacements(pairs: DataFrame, limit: float = np.inf) -> DataFrame:
+    """id1, id2, value of pairs with `first` of the one structure and `others` of the other; infinite where it isn't below the
+    limit."""
 
     def fn(r: dict) -> dict:
         mols = lambda c: [np.array([list(p) for p in m]) for m in c]
-        return {"value": N.clusters_apart(mols(r["first"]), [mols(c) for c in r["others"]])}
+        return {"value": N.clusters_apart(mols(r["first"]), [mols(c) for c in r["others"]], limit)}
 
     return applied(pairs, fn, "value double", PAIR)
 

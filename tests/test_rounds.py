@@ -91,3 +91,44 @@ def test_no_bin_holds_more_than_the_mean_and_a_job(spark, bins):
             if x.cost and x.cost * bins > sum(costs):
                 assert [y for y in got if y.part == x.part and (y.cost or 0) > 0] == [x]
     assert dedup.least_loaded(spark.createDataFrame([], "id int, cost long"), "cost", 4, "id").collect() == []
+
+
+def test_components_in_rows_and_in_rounds(spark):
+    """Rows and rounds give the same molecules; atoms numbered otherwise than from 0 are told apart alike."""
+    r = random.Random(6)
+    links, atoms = [], []
+    for s in range(15):
+        n = r.randint(1, 60)
+        own = r.sample(range(500), n) if s % 3 == 0 else list(range(n))
+        atoms += [(str(s), k) for k in own]
+        links += [(str(s), *r.sample(own, 2)) for _ in range(n * 2 // 3) if n > 1]
+    links += [("4", k, k + 1) for k in range(0, 6)]
+    df, bonds = spark.createDataFrame(atoms, "struct_id string, atom_idx int").repartition(4), spark.createDataFrame(links, "struct_id string, i int, j int")
+    named = {(x.struct_id, x.atom_idx): x.mol_idx for x in graph.molecules(df, bonds).collect()}
+    known = set(atoms)
+    bonds = bonds.where(bonds.struct_id != "4") if not {("4", k) for k in range(7)} <= known else bonds
+    for most in (0, 20, 1000):
+        found = {(x.struct_id, x.atom_idx): x.mol_idx for x in graph.molecules(df, bonds, most=most).collect()}
+        assert found.keys() == known
+        for s in {a for a, _ in atoms}:
+            own = [k for a, k in atoms if a == s]
+            root = {k: k for k in own}
+
+            def top(k, root=root):
+                while root[k] != k:
+                    k = root[k]
+                return k
+
+            for a, i, j in links:
+                if a == s and (a != "4" or {("4", k) for k in range(7)} <= known):
+                    root[max(top(i), top(j))] = min(top(i), top(j))
+            heads = sorted({top(k) for k in own})
+            assert {k: found[s, k] for k in own} == {k: heads.index(top(k)) for k in own}
+    assert named.keys() == known
+
+
+def test_shells_with_any_numbers(spark):
+    atoms = spark.createDataFrame([("s", k, e, {"m": "1"}) for k, e in ((3, "C"), (7, "N"), (9, "O"), (20, "H"))], "struct_id string, atom_idx int, neighbourhood string, more map<string,string>")
+    bonds = spark.createDataFrame([("s", 3, 7), ("s", 7, 3), ("s", 7, 9), ("s", 9, 7)], "struct_id string, i int, j int")
+    got = {x.atom_idx: (x.descriptor, x.more["m"]) for x in graph.descriptors(atoms, bonds, 4).collect()}
+    assert got == {3: ("C|N|O", "1"), 7: ("N|CO", "1"), 9: ("O|N|C", "1"), 20: ("H", "1")}
