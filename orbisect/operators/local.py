@@ -153,14 +153,15 @@ def crystal_rmsds(pairs: DataFrame, nn: int = 8, hydrogens: bool = False) -> Dat
 
 
 def clusters(structures: DataFrame, nn: int = 8, hydrogens: bool = False) -> DataFrame:
-    """struct_id, `first` and `others`: what cluster_displacements() compares, computed once a structure."""
+    """struct_id, first, first_sizes, others, others_sizes: what cluster_displacements() compares, computed once a structure;
+    positions one after another, and how many each molecule has."""
 
     def fn(r: dict) -> dict:
         first, others = N.clusters(*crystal(r), nn, hydrogens)
-        return {"first": [m.tolist() for m in first], "others": [[m.tolist() for m in c] for c in others]}
+        flat = lambda c: np.concatenate(c).ravel().tolist()
+        return {"first": flat(first), "first_sizes": [len(m) for m in first], "others": [flat(c) for c in others], "others_sizes": [[len(m) for m in c] for c in others]}
 
-    points = "array<array<array<double>>>"
-    return applied(structures, fn, f"first {points}, others array<{points}>")
+    return applied(structures, fn, "first array<double>, first_sizes array<int>, others array<array<double>>, others_sizes array<array<int>>")
 
 
 def cluster_displacements(pairs: DataFrame, limit: float = np.inf) -> DataFrame:
@@ -168,8 +169,8 @@ def cluster_displacements(pairs: DataFrame, limit: float = np.inf) -> DataFrame:
     limit."""
 
     def fn(r: dict) -> dict:
-        mols = lambda c: [np.array([list(p) for p in m]) for m in c]
-        return {"value": N.clusters_apart(mols(r["first"]), [mols(c) for c in r["others"]], limit)}
+        mols = lambda flat, sizes: np.split(np.asarray(flat, float).reshape(-1, 3), np.cumsum(sizes)[:-1])
+        return {"value": N.clusters_apart(mols(r["first"], r["first_sizes"]), [mols(*c) for c in zip(r["others"], r["others_sizes"], strict=True)], limit)}
 
     return applied(pairs, fn, "value double", PAIR)
 
