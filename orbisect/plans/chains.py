@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import elements as E
-from ..operators import crystals, dedup, generators, graph, networks, pairs
+from ..operators import crystals, dedup, generators, graph, networks, pairs, properties
 from ..session import table
 from .catalogue import query
 
@@ -265,3 +265,17 @@ def unique_orientations(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = F.array(*(F.array(*(F.array(*(F.lit(float(x)) for x in q)) for q in g)) for g in GROUPS))
     own = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("struct_id"), F.get(groups, (F.col("s_suppkey") % 4).cast("int")).alias("ops"))
     return generators.unique_angles(own, 45)
+
+
+@query("""SELECT event_id::VARCHAR AS struct_id, json_extract(props, '$.k')::INTEGER AS k, round(value, 6) + 0.0 AS deep FROM events WHERE json_extract(props, '$.k')::INTEGER > 50""")
+def typed_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as documents with open properties: there and back, a filter by a number among them, and a look into a list."""
+    rows = table(spark, sf_dir, "events").select(
+        F.to_json(F.struct(F.col("event_id").cast("string").alias("struct_id"), F.array(F.lit("C")).alias("elements"), F.struct(F.array(F.struct(F.col("value").alias("b"))).alias("c")).alias("more"))).alias("head"),
+        F.concat(F.lit(',"properties":'), "props", F.lit("}")).alias("tail"),
+    )
+    docs = rows.select(F.concat(F.expr("substring(head, 1, length(head) - 1)"), "tail").alias("doc"))
+    there = properties.from_typed_documents(docs)
+    back = properties.from_typed_documents(properties.typed_documents(there).select("doc"))
+    kept = back.where(properties.value("k", "double") > 50)
+    return kept.select("struct_id", properties.value("k", "int").alias("k"), (F.round(properties.value("more", "double", "$.c[0].b"), 6) + 0.0).alias("deep"))
