@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import elements as E
 from ..operators import crystals, dedup, generators, graph, networks, pairs, properties
 from ..session import table
+from . import table_functions
 from .catalogue import query
 
 SYMBOLS = ("C", "N", "O")
@@ -279,3 +280,22 @@ def typed_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = properties.from_typed_documents(properties.typed_documents(there).select("doc"))
     kept = back.where(properties.value("k", "double") > 50)
     return kept.select("struct_id", properties.value("k", "int").alias("k"), (F.round(properties.value("more", "double", "$.c[0].b"), 6) + 0.0).alias("deep"))
+
+
+@query("""WITH cells AS (
+  SELECT s_suppkey::VARCHAR AS struct_id, 4.5 + (s_suppkey % 10)::DOUBLE * 0.11 AS a, 5.2 + (s_suppkey % 10 % 5)::DOUBLE * 0.37 AS b, s_suppkey % 6 AS n FROM supplier),
+atoms AS (SELECT *, unnest(range(0, n + 1)) AS k FROM cells)
+SELECT struct_id, k::INTEGER AS src_atom_idx, na::INTEGER AS na, nb::INTEGER AS nb, round(k * 0.5 + na * a, 6) AS x, round(k * 0.25 + nb * b, 6) AS y
+FROM atoms, (SELECT unnest(range(0, 2)) AS na), (SELECT unnest(range(0, 3)) AS nb)""")
+def sql_supercell(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Supercells asked for in SQL."""
+    table_functions.register(spark)
+    s, zero = F.col("s_suppkey"), F.lit(0.0)
+    box = (s % 10).cast("double")
+    lattice = F.array(F.array(4.5 + box * 0.11, zero, zero), F.array(zero, 5.2 + (box % 5) * 0.37, zero), F.array(zero, zero, F.lit(7.0)))
+    k = F.sequence(F.lit(0), (s % 6).cast("int"))
+    rows = table(spark, sf_dir, "supplier").select(
+        s.cast("string").alias("struct_id"), F.transform(k, lambda _: F.lit("C")).alias("elements"), F.transform(k, lambda i: F.array(i * 0.5, i * 0.25, F.lit(0.0))).alias("geometry"), lattice.alias("lattice"), F.lit("more").alias("x")
+    )
+    out = spark.sql("SELECT * FROM supercell(TABLE({rows}), 2, 3, 1)", rows=rows)
+    return out.select("struct_id", "src_atom_idx", "na", "nb", *(F.round(c, 6).alias(c) for c in "xy"))
