@@ -333,9 +333,9 @@ def encoded(docs: DataFrame, path: str, folder: str | None = None, giant: int |
     """
     folder = folder or workspace(docs.sparkSession, "pieces")
     rest = [c for c in docs.columns if c not in ("text", "ids")]
-    rows = docs.select(F.monotonically_increasing_id().alias("__row"), *(F.col(f"`{c}`") for c in rest), F.coalesce("text", F.lit("")).alias("__text"))
-    long = F.length("__text") > (GIANT if giant is None else giant)
-    named = rows.select(F.col("__row").alias("row"), F.col("__text").alias("text"), F.struct(*(F.col(f"`{c}`") for c in rest)).alias("rest"), long.alias("long"))
+    text = F.coalesce("text", F.lit(""))
+    long = F.length(text) > (GIANT if giant is None else giant)
+    named = docs.select(F.monotonically_increasing_id().alias("row"), text.alias("text"), F.struct(*(F.col(f"`{c}`") for c in rest)).alias("rest"), long.alias("long"))
     return _joined(named, path, folder, chunk).select(*(F.col(f"rest.`{c}`").alias(c) for c in rest), "ids")
 
 
