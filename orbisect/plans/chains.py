@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import elements as E
 from ..operators import crystals, dedup, generators, graph, networks, pairs, properties
-from ..session import table
+from ..session import table, workspace
+from ..streaming.buckets import BucketTable
 from . import table_functions
 from .catalogue import query
 
@@ -299,3 +300,14 @@ def sql_supercell(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     out = spark.sql("SELECT * FROM supercell(TABLE({rows}), 2, 3, 1)", rows=rows)
     return out.select("struct_id", "src_atom_idx", "na", "nb", *(F.round(c, 6).alias(c) for c in "xy"))
+
+
+@query("SELECT o_custkey, max(o_orderkey) AS o_orderkey, arg_max(o_totalprice, o_orderkey) AS o_totalprice FROM orders GROUP BY o_custkey")
+def bucket_upserts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each customer's newest order, kept in a table in buckets that is merged with all orders in three batches."""
+    kept = BucketTable(workspace(spark, "buckets"), "o_custkey", 16)
+    orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_totalprice")
+    for part in (1, 2, 0):
+        kept.upsert(orders.where(F.col("o_orderkey") % 3 == part), order="o_orderkey")
+    kept.vacuum()
+    return kept.read(spark)

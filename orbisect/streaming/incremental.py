@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.structures import upserted
+from .buckets import BucketTable, newest
+
+__all__ = ["newest", "remaining", "has_result", "run_remaining", "run_remaining_pairs", "structure_stream", "upsert_stream", "windowed_counts"]
 
 
 def remaining(jobs: DataFrame, done: DataFrame, running: DataFrame | None = None, key: str = "struct_id") -> DataFrame:
@@ -74,24 +76,16 @@ def structure_stream(spark: SparkSession, folder: str, schema: str, files_per_ba
     return spark.readStream.schema(schema).option("multiLine", "true").option("maxFilesPerTrigger", files_per_batch).json(folder)
 
 
-def newest(rows: DataFrame, key: str, order: str | None) -> DataFrame:
-    """One row of each key: that with the largest `order` (nulls least), ties by the rows' own contents."""
-    by = F.struct(*([F.col(order)] if order else []), F.xxhash64(F.to_json(F.struct(*rows.columns))))
-    return rows.groupBy(key).agg(F.max_by(F.struct(*rows.columns), by).alias("r")).select("r.*")
-
-
-def upsert_stream(stream: DataFrame, table: str, checkpoint: str, key: str = "struct_id", order: str | None = None) -> StreamingQuery:
-    """Keep a table of the newest row of each key, by the column `order`, also against rows of earlier batches; without it the
-    later batch wins, and within one batch any row of a key, but always the same. Each micro-batch is merged into a new
-    version of the folder `table`, named by the batch, so a batch that is run again writes the same version."""
+def upsert_stream(stream: DataFrame, table: str, checkpoint: str, key: str = "struct_id", order: str | None = None, buckets: int = 64) -> StreamingQuery:
+    """Keep a table (buckets.BucketTable in the folder `table`) of the newest row of each key, by the column `order`, also
+    against rows of earlier batches; without it the later batch wins, and within one batch any row of a key, but always the
+    same. A micro-batch rewrites the buckets of its keys; one that is run again after a failure is merged once, as the table
+    knows the stream's last batch. Another stream, or one with a fresh checkpoint, goes on with the table that is there."""
+    kept = BucketTable(table, key, buckets)
 
     def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        rows = newest(batch, key, order)
-        if number:
-            old = spark.read.parquet(f"{table}/v={number - 1}")
-            rows = newest(old.unionByName(rows), key, order) if order else upserted(old, rows, key)
-        rows.write.mode("overwrite").parquet(f"{table}/v={number}")
+        stream_id = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId") or checkpoint
+        kept.upsert(batch, order, stream_id, number)
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
