@@ -79,8 +79,7 @@ def near_vectors(rows: DataFrame, key: str, vector: str, radius: float | None =
     sizes = {r.cell: (max(1, -(-r.n // BLOCK)), r.far) for r in cells.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("far")).collect()}
     apart = distances(drawn, drawn)
     meets = lambda a, b: radius is None or apart[a, b] <= sizes[a][1] + sizes[b][1] + radius * (1 + 1e-9)
-    partners = {a: [(b, s) for b in sizes for s in range(sizes[b][0]) if meets(a, b)] for a in sizes}
-    of = lambda a: F.array(*(F.struct(F.lit(b).alias("b"), F.lit(sizes[b][0]).alias("m")) for b in sorted({b for b, _ in partners[a]})))
+    of = lambda a: F.array(*(F.struct(F.lit(b).alias("b"), F.lit(sizes[b][0]).alias("m")) for b in sorted(sizes) if meets(a, b)))
     listed = F.lit(None)
     for a in sizes:
         listed = F.when(F.col("cell") == a, of(a)).otherwise(listed)
