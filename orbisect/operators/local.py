@@ -14,10 +14,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import numerics as N
+from ..session import spread
 
 
 def applied(rows: DataFrame, fn: Callable[[dict], dict | list[dict]], schema: str, keep: tuple[str, ...] = ("struct_id",)) -> DataFrame:
-    """fn over each row's dict; its result, one row or several, behind the columns `keep`."""
+    """fn over each row's dict; its result, one row or several, behind the columns `keep`. A row is long work, so rows are
+    spread by `keep` first."""
 
     def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -29,7 +31,7 @@ def applied(rows: DataFrame, fn: Callable[[dict], dict | list[dict]], schema: st
                 yield pd.DataFrame(out)
 
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-    return rows.mapInPandas(run, ", ".join([*(f"{k} {kinds[k]}" for k in keep), schema]))
+    return spread(rows, *keep).mapInPandas(run, ", ".join([*(f"{k} {kinds[k]}" for k in keep), schema]))
 
 
 def grid(value) -> np.ndarray:
