@@ -36,8 +36,7 @@ def duplicates(structures: DataFrame, strain: float = 0.1, rmsd: float | None =
     near = written(near.select("id1", "id2"), folder, "near")
     own = written(local.clusters(structures, nn, hydrogens=True), folder, "clusters")
     met = near.join(own.select(F.col("struct_id").alias("id1"), "first", "first_sizes"), "id1").join(own.select(F.col("struct_id").alias("id2"), "others", "others_sizes"), "id2")
-    # What meets is few pairs, each of them long work: they are dealt anew, one after another.
-    found = local.cluster_displacements(met.repartition("id1", "id2"), rmsd)
+    found = local.cluster_displacements(met, rmsd)
     return pairs.scored(found, "duplicate", F.when(F.col("value") < rmsd, F.col("value")), F.col("value") < rmsd)
 
 
