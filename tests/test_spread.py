@@ -6,8 +6,8 @@ import numpy as np
 
 from orbisect.functions import numerics as N
 from orbisect.functions.geometry import euler_matrix
-from orbisect.operators import local
-from orbisect.plans import samples
+from orbisect.operators import crystals, local
+from orbisect.plans import chains, samples
 
 
 def test_symmetry_turns_each_molecule_once_on_all_cores(spark, sf):
@@ -30,3 +30,17 @@ def test_equal_crystals_are_not_tried_on(monkeypatch):
     cell = np.eye(3) * 7.0
     assert N.crystal_rmsd((np.array(g), e, cell), (np.array(g) + [1.3, -0.7, 2.9], e, cell), 8, True) < 1e-9
     assert len(calls) <= 2
+
+
+def test_copies_of_a_crystal_are_compared_once(spark, sf, monkeypatch):
+    """Copies add pairs, not comparisons; which of two is new counts for each copy."""
+    from pyspark.sql import functions as F
+
+    rows = chains.box_crystals(spark, sf).where("struct_id < 's00000003'").withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(20))))
+    rows = rows.withColumns({"struct_id": F.concat_ws("-", "struct_id", F.format_string("%02d", "copy")), "is_new": F.col("copy") == 7}).drop("copy")
+    seen, plain = [], local.cluster_displacements
+    monkeypatch.setattr(local, "cluster_displacements", lambda df, limit: seen.append(df.count()) or plain(df, limit))
+    found = crystals.duplicates(rows, strain=0.03, rmsd=0.1).where("is_match").collect()
+    ids = [f"s{k:08d}-{c:02d}" for k in range(3) for c in range(1, 21)]
+    assert sorted((x.id1, x.id2) for x in found) == [(a, b) for a in ids for b in ids if a < b and a[:9] == b[:9] and "07" in (a[-2:], b[-2:])]
+    assert seen and seen[0] <= 9
