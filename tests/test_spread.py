@@ -6,7 +6,7 @@ import numpy as np
 
 from orbisect.functions import numerics as N
 from orbisect.functions.geometry import euler_matrix
-from orbisect.operators import crystals, local
+from orbisect.operators import crystals, local, pairs
 from orbisect.plans import chains, samples
 
 
@@ -44,3 +44,34 @@ def test_copies_of_a_crystal_are_compared_once(spark, sf, monkeypatch):
     ids = [f"s{k:08d}-{c:02d}" for k in range(3) for c in range(1, 21)]
     assert sorted((x.id1, x.id2) for x in found) == [(a, b) for a in ids for b in ids if a < b and a[:9] == b[:9] and "07" in (a[-2:], b[-2:])]
     assert seen and seen[0] <= 9
+
+
+def test_atoms_at_one_place_are_checked_once(spark):
+    """Copies change no least ratio, and aren't met; pairs are dealt over several tasks."""
+    rows = [("a", k, "HO" if k % 2 else "ON", "H" if k % 2 else "O", float(k % 3), 0.5, 0.0) for k in range(300)]
+    df = spark.createDataFrame(rows, "struct_id string, atom_idx int, neighbourhood string, element string, x double, y double, z double").coalesce(1)
+    moved = df.withColumn("y", df.y + 1)
+    one, every = pairs.cutoffs(pairs.places(df), pairs.places(moved)), pairs.cutoffs(df, moved)
+    assert one.count() == 36 and every.count() == 90000 and every.rdd.getNumPartitions() > 1
+    assert pairs.distance_check(one, 0.1, 1).collect() == pairs.distance_check(every, 0.1, 1).collect()
+
+
+def test_ways_of_many_bonds_are_followed_as_bits(spark, monkeypatch):
+    """Dense and sparse structures, in several blocks and strips, against a plain walk; bonds from one end alone as well."""
+    monkeypatch.setattr(pairs, "SOURCES", 16)
+    monkeypatch.setattr(pairs, "BITS", 1000)
+    r = np.random.default_rng(3)
+    links = {("dense", int(a), int(b)) for a, b in r.integers(0, 60, (500, 2)) if a != b} | {("chain", k, k + 1) for k in range(40)} | {("chain", k + 1, k) for k in range(40)}
+    found = pairs.within_bonds(spark.createDataFrame(sorted(links), "struct_id string, i int, j int"), 3).collect()
+    near = {}
+    for s, a, b in links:
+        near.setdefault((s, a), set()).add(b)
+    want = set()
+    for s, a in near:
+        seen = {a}
+        for _ in range(3):
+            seen |= {y for x in seen for y in near.get((s, x), ())}
+        want |= {(s, a, b) for b in seen - {a}}
+    assert sorted(map(tuple, found)) == sorted(want)
+    rows, cols = np.array([0, 1, 2, 3]), np.array([1, 2, 3, 4])
+    assert [x.tolist() for x in pairs.reached(rows, cols, 5, np.array([0, 3]), 3)] == [[1, 2, 3], [4]]
