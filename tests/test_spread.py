@@ -86,3 +86,10 @@ def test_orientations_are_found_once_for_equal_rotations(spark):
     assert sizes == {f"s{k}": (24, 24, 12)[k % 3] for k in range(9)}
     alike = {r.a for r in got.where("struct_id IN ('s2', 's5', 's8')").groupBy("a", "b", "c").count().select(pairs.F.col("count").alias("a")).collect()}
     assert alike == {3}
+
+
+def test_rows_of_one_value_meet_in_several_tasks(spark):
+    df = spark.range(200).selectExpr("id", "1 AS g", "id * 2 AS v").coalesce(1)
+    found = pairs.unordered(df, "id", ["g"], ["v"])
+    assert sorted((r.id1, r.id2, r.v1, r.v2) for r in found.collect()) == [(a, b, 2 * a, 2 * b) for a in range(200) for b in range(a + 1, 200)]
+    assert found.groupBy(pairs.F.spark_partition_id()).count().count() > 1
