@@ -107,7 +107,7 @@ class FindMolecules(Driver):
     def calc(self, rows: DataFrame) -> DataFrame:
         atoms = structures.to_atoms(rows)
         found = pairs.periodic_bonds(atoms.join(lattices_of(rows), "struct_id", "left_semi"), lattices_of(rows), self.mult).drop("d")
-        alone = pairs.bonds(atoms.join(lattices_of(rows), "struct_id", "left_anti"), self.mult)
+        alone = pairs.bond_trees(atoms.join(lattices_of(rows), "struct_id", "left_anti"), self.mult)
         alone = alone.select("struct_id", "i", "j", *(F.lit(0).alias(c) for c in networks.CELL))
         return networks.molecules(atoms, found.unionByName(alone))
 

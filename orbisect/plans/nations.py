@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import elements as E
 from ..operators import graph, pairs, structures
-from ..session import table, workspace
+from ..session import table, workspace, written
 from ..sources import datasource, files
 from ..streaming import incremental
 from . import drivers
@@ -107,10 +107,8 @@ contacts AS (
 
 def nation_contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     atoms = nation_atoms(spark, sf_dir)
-    here = [F.lit(0).alias(c) for c in ("na", "nb", "nc")]
-    near = pairs.within(atoms, 4.0, 4.0, ordered=True).select("struct_id", "i", "j", "d", "element1", "element2", *here)
-    mols = drivers.FindMolecules(1.2)(nation_structures(spark, sf_dir)).select("struct_id", "atom_idx", "mol_idx", *(F.lit(0).alias(c) for c in ("sa", "sb", "sc")))
-    return pairs.contacts(near, mols, 1.0)
+    mols = drivers.FindMolecules(1.2)(nation_structures(spark, sf_dir)).select("struct_id", "atom_idx", "mol_idx")
+    return pairs.molecule_contacts(atoms, written(mols, workspace(spark, "contacts"), "molecules"), 4.0, 1.0)
 
 
 @query(f"WITH RECURSIVE {SQL_NATIONS}, {SQL_COMPONENTS}, {SQL_CONTACTS} SELECT struct_id, i, j, round(d, 9) AS d, round(ratio, 9) AS ratio FROM contacts")
