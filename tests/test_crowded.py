@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from orbisect.operators import graph, pairs
+from orbisect.operators import graph, networks, pairs
 
 ATOM = "struct_id string, atom_idx int, element string, x double, y double, z double"
 
@@ -37,3 +37,25 @@ def test_atoms_of_one_molecule_do_not_meet(spark, monkeypatch):
     found = pairs.molecule_contacts(atoms, mols, 4.0, 1.3)
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect())) and found.count() > 0
     assert listed[0] < near.count() / 10
+
+
+def test_walks_find_what_stars_find(spark, monkeypatch):
+    """Molecules and cells of made-up networks, finite and endless, loops at an atom alone; small ones need no rounds."""
+    rng = np.random.default_rng(8)
+    rows = [(f"s{k}", int(i), int(j), *map(int, rng.integers(-1, 2, 3) if k % 3 else (i % 2 - j % 2, 0, i - j))) for k in range(30) for i, j in rng.integers(0, 9, (3 + k % 5, 2))]
+    atoms = spark.createDataFrame([(f"s{k}", i) for k in range(30) for i in range(9)], "struct_id string, atom_idx int")
+    links = spark.createDataFrame(rows, "struct_id string, i int, j int, na int, nb int, nc int").where("i <> j OR na <> 0 OR nb <> 0 OR nc <> 0")
+    stars = sorted(map(tuple, networks.molecules(atoms, links, most=4).collect()))
+    monkeypatch.setattr(networks, "connected", None)
+    found = networks.molecules(atoms, links)
+    assert sorted(map(tuple, found.collect())) == stars and {x.periodicity for x in found.collect()} >= {0, 1, 2}
+
+
+def test_images_reach_as_far_as_own_bonds(spark, monkeypatch):
+    """A structure without large atoms is not met as if it had some."""
+    reached, plain = [], pairs.images
+    monkeypatch.setattr(pairs, "images", lambda *a: reached.append(plain(*a)) or reached[-1])
+    atoms = spark.createDataFrame([("a", 0, "C", 0.1, 0.1, 0.1), ("a", 1, "C", 3.9, 0.1, 0.1)], ATOM)
+    cell = spark.createDataFrame([("a", [[4.0, 0.0, 0.0], [0.0, 5.0, 0.0], [0.0, 0.0, 5.0]])], "struct_id string, lattice array<array<double>>")
+    assert sorted((x.i, x.j, x.na) for x in pairs.periodic_bonds(atoms, cell).collect()) == [(0, 1, -1), (1, 0, 1)]
+    assert reached[0].count() < 30
