@@ -25,12 +25,13 @@ MOLECULES = {
 def order_atoms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An order is a structure and a line an atom: the flag is its element, the quantity its mass, and price, discount and
     tax its coordinates, all as decimals, so that sums are exact."""
-    rows = table(spark, sf_dir, "lineitem").select(
-        F.col("l_orderkey").alias("struct_id"), F.lit(0).alias("atom_idx"), F.col("l_returnflag").alias("element"),
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("struct_id"), F.lit(0).alias("atom_idx"), "l_returnflag", *LINE_ORDER)
+    # Decimals follow once lines are numbered, so that no value moves twice.
+    return renumbered(rows, *LINE_ORDER).select(
+        "struct_id", "atom_idx", F.col("l_returnflag").alias("element"),
         F.col("l_quantity").cast("decimal(4,0)").alias("mass"), F.col("l_extendedprice").cast("decimal(9,2)").alias("x"),
-        F.col("l_discount").cast("decimal(4,2)").alias("y"), F.col("l_tax").cast("decimal(4,2)").alias("z"), *LINE_ORDER,
+        F.col("l_discount").cast("decimal(4,2)").alias("y"), F.col("l_tax").cast("decimal(4,2)").alias("z"),
     )
-    return renumbered(rows, *LINE_ORDER).drop(*LINE_ORDER)
 
 
 SQL_ATOMS = """

@@ -244,3 +244,24 @@ def test_windowed_counts_as_a_stream(spark, sf, tmp_path):
     batch = incremental.windowed_counts(spark.read.parquet(f"{sf}/events.parquet"))
     as_rows = lambda df: sorted(map(tuple, df.withColumn("start", F.col("start").cast("string")).collect()))
     assert as_rows(spark.table("w")) == as_rows(batch)
+
+
+@pytest.mark.parametrize("apart", [None, "element"])
+def test_points_of_small_groups_meet_without_cells(spark, apart):
+    """The pairs that cells give and plain comparison gives, whichever way a group goes; small groups aren't copied to cells."""
+    rng = np.random.default_rng(3)
+    rows = [(f"g{n}", k, "CNO"[int(rng.integers(3))], *map(float, rng.uniform(-4, 4, 3))) for n in (0, 1, 2, 7, 60) for k in range(n)]
+    rows += [("g7", 7, "C", None, 0.0, 0.0), ("g7", 8, "C", float("nan"), 0.0, 0.0), (None, 0, "C", 0.0, 0.0, 0.0), (None, 1, "N", 0.0, 0.0, 0.0)]
+    points = spark.createDataFrame(rows, "struct_id string, atom_idx int, element string, x double, y double, z double")
+    want = set()
+    for s, i, e, *p in rows:
+        for t, j, f, *q in rows:
+            if s is not None and s == t and i < j and None not in (*p, *q) and (apart is None or e != f) and np.linalg.norm(np.subtract(p, q)) <= 1.9:
+                want.add((s, i, j, e, f))
+    for few in (0, 10, pairs.FEW):
+        for ordered in (False, True):
+            met = pairs.within(points, 1.9, 2.1, ordered=ordered, apart=apart, few=few)
+            got = [(r.struct_id, r.i, r.j, r.element1, r.element2) for r in met.collect()]
+            assert sorted(got) == sorted(want | {(s, j, i, f, e) for s, i, j, e, f in want} if ordered else want)
+    assert len(want) > 20
+    assert "Generate" not in pairs.within(points, 1.9, 2.1, apart=apart)._jdf.queryExecution().optimizedPlan().toString()
