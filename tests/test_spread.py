@@ -5,6 +5,7 @@ from itertools import product
 import numpy as np
 
 from orbisect.functions import numerics as N
+from orbisect.functions.elements import VDW
 from orbisect.functions.geometry import euler_matrix
 from orbisect.operators import crystals, generators, local, pairs
 from orbisect.plans import chains, samples
@@ -93,3 +94,28 @@ def test_rows_of_one_value_meet_in_several_tasks(spark):
     found = pairs.unordered(df, "id", ["g"], ["v"])
     assert sorted((r.id1, r.id2, r.v1, r.v2) for r in found.collect()) == [(a, b, 2 * a, 2 * b) for a in range(200) for b in range(a + 1, 200)]
     assert found.groupBy(pairs.F.spark_partition_id()).count().count() > 1
+
+
+def test_cutoffs_are_found_once_a_place_and_whole_in_any_parts(spark, monkeypatch):
+    """All pairs of a large and a small structure, dealt in many parts and lists or in one, from few rows of places."""
+    kinds, r = ("HO", "HN", "ON", "NC", "CH"), np.random.default_rng(9)
+    rows = lambda sizes: [(s, k, kinds[k % 5], kinds[k % 5][0], float(r.integers(3)), 0.0, float(k % 2)) for s, n in sizes for k in range(n)]
+    a, b = rows((("big", 200), ("small", 3), ("alone", 2))), rows((("big", 90), ("small", 2), ("other", 4)))
+    of = "struct_id string, atom_idx int, neighbourhood string, element string, x double, y double, z double"
+    first, second = spark.createDataFrame(a, of), spark.createDataFrame(b, of)
+
+    def cutoff(n, m):
+        for h, o in ((n, m), (m, n)):
+            if h in ("HO", "HN") and o[0] in "NO":
+                return pairs.HYDROGEN_BONDS[h[1], o[0]]
+        return VDW[n[0]] + VDW[m[0]]
+
+    want = sorted((s, i, j, round(cutoff(n, m), 9), round(float(np.linalg.norm(np.subtract(p, q))), 9)) for s, i, n, _, *p in a for t, j, m, _, *q in b if s == t)
+    for met, part in ((pairs.MET, pairs.PART), (500, 20)):
+        monkeypatch.setattr(pairs, "MET", met)
+        monkeypatch.setattr(pairs, "PART", part)
+        found = pairs.cutoffs(first, second)
+        assert sorted((x.struct_id, x.i, x.j, round(x.cutoff, 9), round(x.d, 9)) for x in found.collect()) == want
+        if part > 20:
+            assert pairs.place_cutoffs(first, second).where("struct_id = 'big'").count() <= 30 * 30 < 200 * 90 / 10
+    assert found.columns == ["struct_id", "i", "element1", "neighbourhood1", "x1", "y1", "z1", "j", "element2", "neighbourhood2", "x2", "y2", "z2", "cutoff", "d"]
